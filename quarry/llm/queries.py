@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, fingerprints, langid, shards, substrings, urlfilter
+from quarry.llm import bpe, decontaminate, fingerprints, jaccard, langid, shards, substrings, urlfilter
 from quarry.llm.arrowtext import documents
 
 
@@ -42,10 +42,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(documents(spark, sf_dir), digest=True)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urlfilter.SQL, "op4_decontamination": decontaminate.SQL, "op5_sharding": shards.SQL, "op9_substring_dedup": substrings.SQL}
+    return {"op3_url_filters": urlfilter.SQL, "op4_decontamination": decontaminate.SQL, "op5_sharding": shards.SQL, "op9_substring_dedup": substrings.SQL, "op10_jaccard_join": jaccard.SQL}
