@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, fingerprints, jaccard, langid, shards, substrings, urlfilter
+from quarry.llm import bpe, decontaminate, fingerprints, jaccard, langid, shards, substrings, suffixtree, urlfilter
 from quarry.llm.arrowtext import documents
 
 
@@ -38,6 +38,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), tokenizer_file())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(documents(spark, sf_dir), digest=True)
 
