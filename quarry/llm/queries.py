@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, fingerprints, jaccard, langid, shards, substrings, suffixtree, urlfilter
+from quarry.llm import bpe, decontaminate, fingerprints, jaccard, langid, shards, substrings, suffixtree, toxicity, urlfilter
 from quarry.llm.arrowtext import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
