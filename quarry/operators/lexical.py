@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,9 +12,14 @@ K1, B = 1.2, 0.75
 DEPTH = 30
 
 
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits, folded."""
+    return matches(folded(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}]+")
+
+
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(term, chunk_id, tf, positions): words are runs of letters and digits, folded."""
-    words = chunks.select("chunk_id", F.posexplode(matches(folded(F.coalesce(F.col(text), F.lit(""))), r"[\p{L}\p{N}]+")).alias("pos", "term"))
+    words = chunks.select("chunk_id", F.posexplode(tokens(F.col(text))).alias("pos", "term"))
     return words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -22,25 +27,32 @@ def lengths(posting: DataFrame) -> DataFrame:
     return posting.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
 
 
-def statistics(chunks: DataFrame, dl: DataFrame) -> DataFrame:
-    """One row: n_docs and avgdl over the whole, unfiltered corpus."""
-    n = chunks.agg(F.count("*").alias("n_docs"))
-    return n.join(dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("t")), F.lit(True)).select("n_docs", (F.col("t") / F.greatest("n_docs", F.lit(1))).alias("avgdl"))
-
-
 def phrases(queries: DataFrame) -> DataFrame:
     """(query_id, phrase, words, qtf): each content word is a phrase of the index's own words."""
     words = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("phrase")).groupBy("query_id", "phrase").agg(F.count("*").alias("qtf"))
     return words.withColumn("words", matches(folded(F.col("phrase")), r"[\p{L}\p{N}]+")).where(F.size("words") > 0)
 
 
-def phrase_hits(posting: DataFrame, phrase: DataFrame) -> DataFrame:
-    """(phrase, chunk_id, tf): how often the phrase's words follow each other in a chunk."""
+def _met(spots: DataFrame) -> DataFrame:
+    """(phrase, chunk_id, dl, tf) from (phrase, n, at, chunk_id, dl, pos): runs that hold all n words."""
+    start = F.when(F.col("n") > 1, F.col("pos") - F.col("at")).otherwise(-1)
+    runs = spots.groupBy("phrase", "n", "chunk_id", "dl", start.alias("start")).agg(F.count("*").alias("met"))
+    tf = F.when(F.col("n") == 1, F.col("met")).otherwise((F.col("met") == F.col("n")).cast("bigint"))
+    return runs.groupBy("phrase", "chunk_id", "dl").agg(F.sum(tf).alias("tf")).where("tf > 0")
+
+
+def phrase_hits(chunks: DataFrame, phrase: DataFrame, posting: DataFrame | None = None) -> DataFrame:
+    """(phrase, chunk_id, dl, tf): how often the phrase's words follow each other in a chunk.
+
+    Without a prepared index the texts are read once and only words that some phrase holds leave
+    the scan; the number of words travels along, so lengths need no join.
+    """
     parts = phrase.select("phrase", "words").distinct().select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
-    one = parts.where("n = 1").join(posting, "term").select("phrase", "chunk_id", "tf")
-    spots = parts.where("n > 1").join(posting, "term").select("phrase", "n", "chunk_id", "at", F.explode("positions").alias("pos"))
-    runs = spots.groupBy("phrase", "n", "chunk_id", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("met")).where("met = n")
-    return one.unionByName(runs.groupBy("phrase", "chunk_id").agg(F.count("*").alias("tf")))
+    if posting is not None:
+        spots = posting.join(parts, "term").select("phrase", "n", "at", "chunk_id", F.explode("positions").alias("pos"))
+        return _met(spots.join(lengths(posting), "chunk_id"))
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("_w")).select("chunk_id", F.size("_w").alias("dl"), F.posexplode("_w").alias("pos", "term"))
+    return _met(words.join(parts, "term"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, posting: DataFrame | None = None) -> DataFrame:
@@ -49,16 +61,15 @@ def bm25(queries: DataFrame, chunks: DataFrame, posting: DataFrame | None = None
     A phrase counts as often as the query holds it; a phrase in over half of the corpus has weight
     1e-6.  Filter the result, not the corpus: the statistics are the whole corpus's.
     """
-    posting = postings(chunks) if posting is None else posting
-    dl = lengths(posting)
     phrase = phrases(queries)
-    hits = phrase_hits(posting, phrase)
+    hits = phrase_hits(chunks, phrase, posting)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    whole = F.broadcast(statistics(chunks, dl))
+    size = chunks.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0)).alias("t"))
+    whole = F.broadcast(size.select("n_docs", (F.col("t") / F.greatest("n_docs", F.lit(1))).alias("avgdl")))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = phrase.select("query_id", "phrase", "qtf").join(df, "phrase").join(whole, F.lit(True)).withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(1e-6)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.join(hits, "phrase").join(dl, "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return weighted.join(hits, "phrase").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, k: int = DEPTH, score: str = "score") -> DataFrame:
