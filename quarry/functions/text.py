@@ -110,16 +110,22 @@ def is_prose(query: Column, least: int = 4) -> Column:
     return F.size(matches(query, IDENTIFIER)) >= least
 
 
+def _compound_parts(word: Column) -> Column:
+    """Parts of a compound identifier; none if it is a single part."""
+    parts = matches(word, PARTS)
+    return F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
+
+
 def split_inline(text: Column) -> Column:
     """Each compound identifier followed by its parts."""
-    return F.regexp_replace(text, r"\b([A-Z]?[a-z]+)([A-Z][a-z]+)\b", "$0 $1 $2")
+    pieces = matches(text, IDENTIFIER + r"|[^A-Za-z_]+")
+    return F.array_join(F.transform(pieces, lambda w: F.array_join(F.concat(F.array(w), _compound_parts(w)), " ")), "")
 
 
 def split_appended(text: Column) -> Column:
     """The text, then the distinct parts over two letters of its compound identifiers."""
-    words = F.filter(matches(text, IDENTIFIER), lambda w: F.size(matches(w, PARTS)) > 1)
-    parts = F.array_distinct(F.filter(F.flatten(F.transform(words, lambda w: F.transform(matches(w, PARTS), F.lower))), lambda p: F.length(p) > 2))
-    return F.when(F.size(parts) > 0, F.concat(text, F.lit("\n"), F.array_join(parts, " "))).otherwise(text)
+    parts = F.flatten(F.transform(matches(text, IDENTIFIER), lambda w: F.transform(_compound_parts(w), F.lower)))
+    return F.concat(text, F.lit("\n"), F.array_join(F.array_distinct(F.filter(parts, lambda p: F.length(p) > 2)), " "))
 
 
 def glob_regex(glob: str) -> str:

@@ -59,23 +59,22 @@ def claimed_once(chunks: DataFrame) -> DataFrame:
 
 
 def lexical_text(path: Column, body: Column, mode: str = "full", cap: int = 2000, enrich: bool = False, split: str = "off") -> Column:
-    """What the keyword index holds of a chunk."""
-    text = F.substring(body, 1, cap) if mode == "capped" else body
-    if split == "inline":
-        text = split_inline(text)
-    elif split == "append":
-        text = split_appended(text)
+    """What the keyword index holds of a chunk: path words or path parts around the body, reshaped."""
+    body = F.substring(body, 1, cap) if mode == "capped" else body
     if enrich:
-        stem, parts = path_stem(path), F.split(path, "/")
-        dirs = F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), F.least(F.size(parts) - 1, F.lit(3)))
-        return F.concat_ws(" ", text, stem, stem, F.array_join(dirs, " "))
-    return F.concat(humanise(path), F.lit("\n"), text)
+        stem, dirs = path_stem(path), F.filter(F.split(path, "/"), lambda s: s != "")
+        last = F.slice(dirs, F.greatest(F.size(dirs) - 3, F.lit(1)), F.greatest(F.least(F.size(dirs) - 1, F.lit(3)), F.lit(0)))
+        text = F.concat_ws(" ", body, stem, stem, F.array_join(last, " "))
+    else:
+        text = F.concat(humanise(path), F.lit("\n"), body)
+    return split_inline(text) if split == "inline" else split_appended(text) if split == "append" else text
 
 
 def embed_text(path: Column, kind: Column, comments: Column, body: Column) -> Column:
     """Distilled text of a documentation chunk: path, kind, comments and 25 distinct identifiers."""
-    names = F.slice(F.array_distinct(F.transform(matches(body, r"[A-Za-z_][A-Za-z0-9_]*"), lambda w: humanise(w))), 1, 25)
-    return F.concat_ws(" :: ", path, kind, comments, F.array_join(names, " "))
+    names = F.array_distinct(F.filter(F.transform(matches(body, r"[A-Za-z_][A-Za-z0-9_]*"), humanise), lambda w: w != ""))
+    parts = (humanise(path), kind, comments, F.array_join(F.slice(names, 1, 25), " "))
+    return F.concat_ws(" :: ", *[F.when(p != "", p) for p in parts])
 
 
 def with_hash(chunks: DataFrame) -> DataFrame:

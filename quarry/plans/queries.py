@@ -508,3 +508,18 @@ SELECT event_type, max(CASE WHEN i = n // 2 THEN value END) AS p50, max(CASE WHE
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: p50 and p95 by sorted position, of event values by type."""
     return evaluate.latency(px.table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T3 (an extra): hourly events by type from a watermarked stream over the whole table."""
+    from quarry.streaming.refresh import event_counts
+
+    return event_counts(spark, f"{sf_dir}/events.parquet", _scratch(spark))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The shared checkpoint folder, or a temporary one where none is set."""
+    import tempfile
+
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}") + "/streams"
