@@ -44,12 +44,12 @@ def event_counts(spark: SparkSession, events: str, folder: str, width: str = "1
 
     run = f"{folder}/{uuid.uuid4().hex}"
     schema = spark.read.parquet(events).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(events)
-    counts = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    stream = spark.readStream.schema(schema).parquet(f"{events[:-1]}[{events[-1]}]")  # a pattern may name a file, a plain path only a folder
+    counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.select(F.col("window.start").alias("start"), "event_type", "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{run}/out/b{number}")
 
     counts.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{run}/state").foreachBatch(keep).start().awaitTermination()
     every = spark.read.parquet(f"{run}/out/*")
-    return every.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return every.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"))
