@@ -98,9 +98,14 @@ def stem_keywords(query: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(PATH_STOP)))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end, line ends and Unicode's included."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def is_symbol_query(query: Column) -> Column:
     """A qualified name, a leading underscore, or an upper-case letter or underscore inside."""
-    return F.trim(query).rlike(
+    return stripped(query).rlike(
         r"\A(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+"
         r"|_[A-Za-z0-9_]*|[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*|[A-Z][A-Za-z0-9]*)\z"
     )

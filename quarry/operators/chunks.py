@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import content_hash, humanise, matches, path_stem, split_appended, split_inline
+from quarry.functions.text import content_hash, humanise, matches, path_stem, split_appended, split_inline, stripped
 
 WINDOW_BYTES, MOST_BYTES, LEAST_CHARS, MOST_CHARS, MOST_LINES = 750, 20_000, 60, 20_000, 200
 
@@ -33,7 +33,7 @@ def bounded(windows: DataFrame) -> DataFrame:
     """Windows cut at 20,000 bytes without half characters, those under 60 stripped characters left out."""
     cut = F.regexp_replace(F.substring(F.col("text").cast("binary"), 1, MOST_BYTES).cast("string"), "�+$", "")
     text = F.when(F.octet_length("text") > MOST_BYTES, cut).otherwise(F.col("text"))
-    return windows.withColumn("text", text).where(F.length(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))) >= LEAST_CHARS)
+    return windows.withColumn("text", text).where(F.char_length(stripped(F.col("text"))) >= LEAST_CHARS)
 
 
 def definition_chunks(defs: DataFrame, files: DataFrame) -> DataFrame:

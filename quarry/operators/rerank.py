@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.classify import path_penalty
-from quarry.functions.text import matches, path_parent, path_stem, split_identifier, stem_keywords
+from quarry.functions.text import matches, path_parent, path_stem, split_identifier, stem_keywords, stripped
 
 COHERENCE, STEM, DEFINITION, DECAY = 0.2, 1.0, 3.0, 0.5
 #: Words before a declared name.
@@ -51,7 +51,7 @@ def stem_is(path: Column, name: Column) -> Column:
 
 def symbol_names(query: Column) -> Column:
     """The last segment after the first kind of separator present, and the whole query."""
-    q = F.trim(query)
+    q = stripped(query)
     last = lambda sep: F.element_at(F.split(q, sep), -1)
     name = F.when(q.contains("::"), last("::")).when(q.contains("\\"), last(r"\\")).when(q.contains("->"), last("->")).when(q.contains("."), last(r"\.")).otherwise(q)
     return F.array_distinct(F.array(name, q))
