@@ -60,8 +60,9 @@ def judge(captures: DataFrame, entries: DataFrame, slice_days: int = SLICE_DAYS)
     once = captures.groupBy("page_id", "url", "fetched_at").agg(F.count("*").alias("times"))
     once = once.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     if span.a is None:
-        span = (0, 0)
-    low, high = (slot(F.lit(t).cast("timestamp")) for t in span)
+        span = ("1970-01-01", "1970-01-01")
+    kind = captures.schema["fetched_at"].dataType
+    low, high = (slot(F.lit(t).cast(kind)) for t in span)
     active = intervals(entries).withColumn("slot", F.explode(F.filter(F.sequence(F.greatest(slot("since"), low), F.greatest(F.least(F.coalesce(slot("until"), high), high), F.greatest(slot("since"), low))), lambda s: s <= high)))
     wanted = once.where("fetched_at is not null").select("page_id", "url", "fetched_at", slot("fetched_at").alias("slot"), F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
     met = wanted.join(active, ["key", "slot"]).where((F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
@@ -76,13 +77,17 @@ def judge(captures: DataFrame, entries: DataFrame, slice_days: int = SLICE_DAYS)
 
 
 #: The pages table has neither fetch times nor a list: both are derived by these rules.
-FIRST_DAY, DAYS = 1_577_836_800, 1461
+FIRST_DAY, DAYS = "TIMESTAMP_NTZ'2020-01-01 00:00:00'", 1461
+
+
+def _time(days: str, seconds: str = "0") -> Column:
+    return F.expr(f"{FIRST_DAY} + make_dt_interval(CAST({days} AS INT), 0, 0, {seconds})")
 
 
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages with a fetch time: a day of 2020-2023 by the page id."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(FIRST_DAY) + F.pmod(F.col("page_id") * 7919, F.lit(DAYS)) * _DAY + F.pmod(F.col("page_id") * 31, F.lit(_DAY))).alias("fetched_at"))
+    return pages.select("page_id", "url", _time(f"pmod(page_id * 7919, {DAYS})", f"pmod(page_id * 31, {_DAY})").alias("fetched_at"))
 
 
 def host_list(captures: DataFrame) -> DataFrame:
@@ -91,20 +96,19 @@ def host_list(captures: DataFrame) -> DataFrame:
     one year."""
     hosts = captures.select(host_of(F.coalesce("url", F.lit(""))).alias("host")).where("host <> ''").distinct()
     hosts = hosts.withColumn("h", F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 6), 16, 10).cast("bigint"))
-    day = lambda d: F.timestamp_seconds(F.lit(FIRST_DAY) + d * _DAY)
-    row = lambda key, d, action: F.struct(key.alias("key"), day(d).alias("dated"), F.lit(action).alias("action"))
+    row = lambda key, d, action: F.struct(key.alias("key"), _time(d).alias("dated"), F.lit(action).alias("action"))
     h, host = F.col("h"), F.col("host")
     entries = F.filter(
         F.array(
-            F.when(h % 3 == 0, row(host, h % 700, "block")),
-            F.when(h % 6 == 0, row(host, h % 700 + 200, "remove")),
-            F.when(h % 6 == 0, row(host, h % 700 + 500, "block")),
-            F.when(h % 5 == 0, row(F.concat(host, F.lit("/en")), h % 900, "allow")),
+            F.when(h % 3 == 0, row(host, "h % 700", "block")),
+            F.when(h % 6 == 0, row(host, "h % 700 + 200", "remove")),
+            F.when(h % 6 == 0, row(host, "h % 700 + 500", "block")),
+            F.when(h % 5 == 0, row(F.concat(host, F.lit("/en")), "h % 900", "allow")),
         ),
         lambda e: e.isNotNull(),
     )
     zone = captures.sparkSession.createDataFrame([("org", 366, "block"), ("org", 731, "remove")], "key string, d int, action string")
-    return hosts.select(F.explode(entries).alias("e")).select("e.*").unionByName(zone.select("key", day(F.col("d")).alias("dated"), "action"))
+    return hosts.select(F.explode(entries).alias("e")).select("e.*").unionByName(zone.select("key", _time("d").alias("dated"), "action"))
 
 
 def pages_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
