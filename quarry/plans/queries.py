@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -211,12 +213,22 @@ def definition_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKS = ("how does the widget server parse data", "HTTPServer", "where are tests for io", "readme of core lib", "find latest foo tests", "app spec", "helper")
 
 
-@query(None)
+_ASKED = ", ".join(f"({i}, {px._list(tuple(dict.fromkeys(w.lower() for w in re.findall('[A-Za-z_][A-Za-z0-9_]*', a) if len(w) > 2 and w.lower() not in text.PATH_STOP)))})" for i, a in enumerate(_ASKS))
+_SPLIT = r"CASE WHEN contains(x, '_') THEN list_filter(string_split(lower(x), '_'), lambda s: s <> '') ELSE list_transform(regexp_extract_all(regexp_replace(x, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda s: lower(s)) END"
+
+
+@query(rf"""WITH {px.FILES}, q(query_id, words) AS (VALUES {_ASKED}),
+p AS (SELECT DISTINCT path FROM files),
+seg AS (SELECT path, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '^(.+)\.[^.]+$', '\1') AS x FROM p UNION ALL SELECT path, regexp_extract(path, '([^/]+)/[^/]+$', 1) FROM p),
+cut AS (SELECT path, lower(x) AS whole, {_SPLIT} AS parts FROM seg WHERE x <> ''),
+bag AS (SELECT path, list_distinct(flatten(list(CASE WHEN len(parts) >= 2 THEN list_concat([whole], parts) ELSE [whole] END))) AS parts FROM cut GROUP BY path),
+r AS (SELECT query_id, path, len(list_filter(words, lambda k: list_contains(parts, k) OR len(list_filter(parts, lambda s: least(length(k), length(s)) >= 3 AND (starts_with(s, k) OR starts_with(k, s)))) > 0))::DOUBLE / len(words) AS ratio FROM bag, q)
+SELECT query_id, path, round(ratio, 6) AS ratio FROM r WHERE ratio >= 0.1e0""")
 def stem_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """share of a query's words that a path accounts for."""
     q = spark.createDataFrame([(i, s) for i, s in enumerate(_ASKS)], "query_id int, query string")
     paths = px.files(spark, sf_dir).select("path").distinct()
-    return paths.join(F.broadcast(q), F.lit(True)).select("query_id", "path", F.round(text_ratio := rerank.stem_ratio(F.col("query"), F.col("path")), 6).alias("ratio")).where(F.col("ratio") >= 0.10)
+    return paths.join(F.broadcast(q), F.lit(True)).select("query_id", "path", F.round(rerank.stem_ratio(F.col("query"), F.col("path")), 6).alias("ratio")).where(F.col("ratio") >= 0.10)
 
 
 @query(f"""WITH RECURSIVE {px.FILES}, base AS (SELECT file_id AS chunk_id, file_id % 7 AS query_id, path, text, round((file_id * 37 % 101)::DOUBLE / 100, 6) AS score FROM files),
