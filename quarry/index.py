@@ -17,6 +17,7 @@ from quarry.functions import classify, text
 from quarry.operators import chunks as ch
 from quarry.operators import fusion, lexical, refresh, rerank, symbols, vectors
 from quarry.settings import Settings
+from quarry.sources.encoders import encoded, prefixes
 from quarry.sources.tree import tree, with_text
 
 TABLES = ("file", "symbol", "chunk", "vector")
@@ -42,6 +43,12 @@ class Index:
         key = f"{Path(self.root).name}-{hashlib.blake2b(self.root.encode(), digest_size=4).hexdigest()}"
         self.home = Path(self.settings.data_dir, key) if self.settings.data_dir else Path(self.root, ".quarry")
 
+        self.prefixes = prefixes(self.settings.embed_model, self.settings.embed_query_prefix, self.settings.embed_doc_prefix)
+
+    def _encoded(self, items: DataFrame) -> DataFrame:
+        s = self.settings
+        return encoded(items, "text", s.embed_backend, s.embed_endpoint, s.embed_model, s.embed_api_key)
+
     # --- snapshots ---
 
     def meta(self) -> dict:
@@ -99,7 +106,7 @@ class Index:
         stored = self.spark.read.parquet(str(out / "chunk"))
         have = known["vector"].join(stored.select("chunk_id"), "chunk_id", "left_semi") if old else None
         need = stored.join(have.select("chunk_id"), "chunk_id", "left_anti") if old else stored
-        made = need.select("chunk_id", vectors.hashed(F.concat(F.lit(s.embed_doc_prefix or ""), "text")).alias("vec"))
+        made = self._encoded(need.select("chunk_id", F.concat(F.lit(self.prefixes[1]), "text").alias("text"))).select("chunk_id", "vec")
         (have.unionByName(made) if old else made).write.parquet(str(out / "vector"))
         n = files.count() if counts is None else None
         for part in ("walked", "fresh"):
@@ -172,7 +179,7 @@ class Index:
         ids = held.select("chunk_id")
         exact = symbols.exact(q, self.table("symbol").drop("path"), chunk).join(ids, "chunk_id", "left_semi").withColumn("score", F.lit(1.0))
         words = lexical.bm25(q, chunk.select("chunk_id", F.col("keyword_text").alias("text"))).join(ids, "chunk_id", "left_semi")
-        near = vectors.nearest(q.withColumn("vec", vectors.hashed(F.concat(F.lit(s.embed_query_prefix or ""), "query"))), self.table("vector").join(ids, "chunk_id", "left_semi"), s.candidate_depth)
+        near = vectors.nearest(self._encoded(q.withColumn("text", F.concat(F.lit(self.prefixes[0]), "query"))), self.table("vector").join(ids, "chunk_id", "left_semi"), s.candidate_depth)
         tiers = fusion.ranked(exact, "exact").unionByName(fusion.ranked(lexical.top(words, s.candidate_depth), "lexical"))
         if s.embed_backend != "none":
             tiers = tiers.unionByName(fusion.ranked(near, "vector"))
