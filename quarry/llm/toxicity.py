@@ -110,6 +110,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b without BLAS, whose kernels round a row differently by its place and neighbours."""
+    return np.einsum("...k,kj->...j", a, b)
+
+
 class Net:
     def __init__(self, vocabulary: np.ndarray, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -130,18 +135,22 @@ class Net:
         return row, np.concatenate([self.p["word"][row], chars], axis=1).astype(np.float32)
 
     def forward(self, x: np.ndarray, cell: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
-        """Logits of windows.  `x`: input of each distinct word, `cell`: SPAN by windows."""
+        """Logits of windows.  `x`: input of each distinct word, `cell`: SPAN by windows.
+
+        `keep` is for training; without it equal windows have equal logits in any company.
+        """
         p, h, n = self.p, STATE, cell.shape[1]
+        dot = np.matmul if keep else _product
         states = np.empty((SPAN, n, 2 * h), np.float32)
         m = mask[..., None].astype(np.float32)
         tape: dict = {}
         for s, order, side in (("f", range(SPAN), slice(0, h)), ("b", range(SPAN - 1, -1, -1), slice(h, 2 * h))):
-            proj = x @ p["x" + s] + p["c" + s]
+            proj = dot(x, p["x" + s]) + p["c" + s]
             now = np.zeros((n, h), np.float32)
             u = p["u" + s]
             for t in order:
                 a = proj[cell[t]]
-                g = now @ u
+                g = dot(now, u)
                 zr = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
                 z, r = zr[:, :h], zr[:, h:]
                 c = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
@@ -149,14 +158,14 @@ class Net:
                     tape[s, t] = now, z, r, c, g[:, 2 * h :]
                 now = now + m[t] * z * (c - now)
                 states[t, :, side] = now
-        pre = np.tanh(states @ p["att"])
-        e = np.where(mask, pre @ p["v"], -1e9)
+        pre = np.tanh(dot(states, p["att"]))
+        e = np.where(mask, dot(pre, p["v"][:, None])[..., 0], np.float32(-1e9))
         e = np.exp(e - e.max(axis=0))
-        e /= e.sum(axis=0)
-        pooled = (e[..., None] * states).sum(axis=0)
+        e /= sum(e)
+        pooled = sum(e[t, :, None] * states[t] for t in range(SPAN))
         if keep:
             tape |= {"states": states, "pre": pre, "e": e, "pooled": pooled, "m": m}
-        return pooled @ p["w"] + p["b"][0], tape
+        return dot(pooled, p["w"][:, None])[:, 0] + p["b"][0], tape
 
     def gradients(self, d: np.ndarray, tape: dict, x: np.ndarray, cell: np.ndarray) -> tuple[dict, np.ndarray]:
         """Of all dense parameters, and of each distinct word's input, from d(loss)/d(logit)."""
