@@ -83,7 +83,7 @@ def boosts(c: DataFrame, queries: DataFrame, chunks: DataFrame | None = None, st
     more and that declare it join the candidates, EXTRA of each query at most, by id.
     """
     q = queries.select("query_id", "query", "is_symbol", F.when(F.col("is_symbol"), symbol_names(F.col("query"))).otherwise(embedded_names(F.col("query"))).alias("_names"))
-    c = c.join(F.broadcast(q), "query_id").withColumn("_top", F.max("score").over(Window.partitionBy("query_id")))
+    c = c.join(q, "query_id").withColumn("_top", F.max("score").over(Window.partitionBy("query_id")))
     unit = F.col("_top") * definition * F.when(F.col("is_symbol"), 1.0).otherwise(0.5)
     ratio = stem_ratio(F.col("query"), F.col("path"))
     gain = F.when(F.col("is_symbol") | (ratio < 0.10), F.lit(0.0)).otherwise(F.col("_top") * stem * ratio)
@@ -94,7 +94,12 @@ def boosts(c: DataFrame, queries: DataFrame, chunks: DataFrame | None = None, st
     if chunks is None:
         return out
     wanted = q.join(tops, "query_id").where("_top > 0").select("query_id", "is_symbol", "_names", "_top", F.explode(F.filter("_names", lambda n: F.length(n) >= 3)).alias("_n"))
-    near = chunks.select("chunk_id", "path", "text").join(F.broadcast(wanted), F.lower("path").contains(F.lower("_n")))
+    # A name lies in a path that has the name's first three letters somewhere: an equality to join on.
+    low = F.lower("path")
+    thirds = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
+    paths = chunks.select("path").distinct().where(F.length(low) >= 3).select("path", F.explode(F.array_distinct(thirds)).alias("_third"))
+    held = paths.join(wanted.withColumn("_third", F.substring(F.lower("_n"), 1, 3)), "_third").where(low.contains(F.lower("_n")))
+    near = chunks.select("chunk_id", "path", "text").join(held.select("query_id", "is_symbol", "_names", "_top", "path").dropDuplicates(["query_id", "path"]), "path")
     near = near.dropDuplicates(["query_id", "chunk_id"]).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("_r") <= EXTRA)
     near = near.join(out.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return out.unionByName(near.withColumn("score", named_bonus(F.col("text"), F.col("path"), F.col("_names"), unit)).where("score <> 0").select(*cols))

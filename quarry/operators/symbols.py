@@ -87,7 +87,7 @@ def exact(queries: DataFrame, symbol: DataFrame, chunk: DataFrame) -> DataFrame:
     two is a union of two joins, each with an equality to plan on.
     """
     defs = symbol.where("tag = 'def'").select("symbol_id", "file_id", F.col("name").alias("query"), F.col("start_line").alias("at"))
-    hit = F.broadcast(queries.select("query_id", "query")).join(defs, "query")
+    hit = queries.select("query_id", "query").join(defs, "query")
     cols = ["query_id", "chunk_id", "path", "start_line"]
     own = hit.join(chunk.where("symbol_id is not null"), ["symbol_id"]).select(*cols)
     window = hit.drop("symbol_id").join(chunk.where("symbol_id is null"), "file_id").where("at between start_line and end_line").select(*cols)

@@ -168,7 +168,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = px.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    return px.table(spark, sf_dir, "documents").join(F.broadcast(item), F.col("text").contains(F.col("start"))).select("query_id", F.col("doc_id").alias("key"))
+    return px.table(spark, sf_dir, "documents").join(item, F.col("text").contains(F.col("start"))).select("query_id", F.col("doc_id").alias("key"))
 
 
 @query(f"""WITH {_LEXICAL}, {_VECTOR}, {_FUSED},
