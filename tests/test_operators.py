@@ -41,6 +41,21 @@ def test_classify(spark):
     assert one(spark, "x" * 20_000, classify.looks_generated) and not one(spark, ("ab\n" * 9000), classify.looks_generated)
 
 
+def test_generated_probe_keeps_long_texts(spark, tmp_path):
+    from quarry.plans import queries
+
+    line, long = "a line\n", "y" * 2000 + "\n"
+    texts = [line * 12_000, long * 60, "é" * 40_000, line * 9363 + long * 9000, long * 33 + line * 200_000, "short", None]
+    want = []
+    for t in texts:
+        data = (t or "").encode()
+        sizes = sorted(map(len, data[:65_536].split(b"\n")[:-1]))
+        want.append(len(data) >= 16_384 and (len(sizes) < 3 or sizes[len(sizes) // 2] > 1000))
+    assert sum(len((t or "").encode()) > 65_536 for t in texts) == 5 and want == [False, True, True, False, True, False, False]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.generated for r in queries.generated_probe(spark, str(tmp_path)).collect()} == dict(enumerate(want))
+
+
 def greedy(rows, limit, decay):
     rows = sorted(rows, key=lambda r: (-r[3], r[0]))
     files, texts, out, floor = {}, {}, [], math.inf
