@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 #: Days of one slice of time.  Intervals and captures meet inside a slice, so the captures of a hot
 #: host are spread over as many join keys as they span slices.
 SLICE_DAYS = 30
-#: Labels of a host and segments of a path that make keys.
-LABELS, SEGMENTS = 8, 3
 _DAY = 86_400
 
 
@@ -22,13 +20,23 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """What a list may name for a page: the host's suffixes, and host plus leading path segments."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(SEGMENTS))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))
-    return F.when(F.length(host) > 0, F.array_distinct(F.concat(suffixes, F.slice(prefixes, 2, SEGMENTS)))).otherwise(F.array().cast("array<string>"))
+def keys_of(host: Column, path: Column, labels: int, segments: int) -> Column:
+    """What a list may name for a page: the host's suffixes, and host plus leading path segments.
+
+    Keys have up to `labels` labels or `segments` segments: as many as the list's own longest have.
+    """
+    parts = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max(labels, 1)))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    steps = F.filter(F.split(path, "/"), lambda s: s != "")
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(steps), F.lit(segments))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, k), "/")))
+    return F.when(F.length(host) > 0, F.array_distinct(F.concat(suffixes, F.slice(prefixes, 2, segments)))).otherwise(F.array().cast("array<string>"))
+
+
+def longest(entries: DataFrame) -> tuple[int, int]:
+    """(labels of a host, segments of a path) that the list's longest keys have: two numbers for the driver."""
+    host, steps = F.substring_index("key", "/", 1), F.size(F.split("key", "/")) - 1
+    r = entries.where("key is not null").agg(F.max(F.size(F.split(host, r"\."))).alias("labels"), F.max(steps).alias("segments")).first()
+    return r.labels or 0, r.segments or 0
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def judge(captures: DataFrame, entries: DataFrame, slice_days: int = SLICE_DAYS)
     kind = captures.schema["fetched_at"].dataType
     low, high = (slot(F.lit(t).cast(kind)) for t in span)
     active = intervals(entries).withColumn("slot", F.explode(F.filter(F.sequence(F.greatest(slot("since"), low), F.greatest(F.least(F.coalesce(slot("until"), high), high), F.greatest(slot("since"), low))), lambda s: s <= high)))
-    wanted = once.where("fetched_at is not null").select("page_id", "url", "fetched_at", slot("fetched_at").alias("slot"), F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
+    wanted = once.where("fetched_at is not null").select("page_id", "url", "fetched_at", slot("fetched_at").alias("slot"), F.explode(keys_of(F.col("host"), F.col("path"), *longest(entries))).alias("key"))
     met = wanted.join(active, ["key", "slot"]).where((F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until"))))
     rank = F.struct(F.instr("key", "/") > 0, F.length("key"), "key", "action", "since", "until")
     best = met.groupBy("page_id", "url", "fetched_at").agg(F.max(rank).alias("e")).select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("fetched_at").alias("_f"), "e")
@@ -116,6 +124,7 @@ def pages_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(captures, host_list(captures))
 
 
+#: DuckDB SQL of `pages_judged`, for hosts of up to eight labels; `judge` has no such bound.
 SQL = r"""
 WITH c AS (
   SELECT page_id, url, make_timestamp((1577836800 + (page_id * 7919 % 1461) * 86400 + page_id * 31 % 86400) * 1000000) AS fetched_at,

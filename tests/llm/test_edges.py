@@ -70,6 +70,16 @@ def test_urls(spark):
     assert urlfilter.judge(caps.limit(0), entries).count() == 0
 
 
+def test_urls_of_any_length(spark):
+    deep, far = ".".join(f"l{i}" for i in range(12)) + ".org", "a.org/" + "/".join(f"s{i}" for i in range(9))
+    caps = spark.createDataFrame([(1, f"http://{deep}/x"), (2, f"http://{far}/more?q=1"), (3, "http://a.org/s0/s1/s2/s3")], "page_id bigint, url string")
+    caps = caps.withColumn("fetched_at", F.expr("make_timestamp(2021, 1, 5, 0, 0, 0)"))
+    entries = spark.createDataFrame([(deep, "block"), ("org", "allow"), (far, "block"), ("a.org/s0", "allow"), ("a.org/s0/s1/s2/s3", "block")], "key string, action string")
+    entries = entries.withColumn("dated", F.expr("make_timestamp(2021, 1, 1, 0, 0, 0)"))
+    got = {r.page_id: (r.blocked, r.entry) for r in urlfilter.judge(caps, entries).collect()}
+    assert got == {1: (True, deep), 2: (True, far), 3: (True, "a.org/s0/s1/s2/s3")}
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, "The CAT, sat on\nthe mat"), (1, "dog ran"), (2, None), (3, ""), (None, "the cat"), (4, " ".join(f"w{i % 977}x{i % 31}" for i in range(13, 40)))], "item_id bigint, text string")
     got = {(r.doc_id, r.n_words): r for r in decontaminate.digest(docs, bench).collect()}
