@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, jaccard, langid, substrings
 from quarry.llm.queries import tokenizer_file
-from quarry.llm.tables import shared_folder
+from quarry.llm.tables import shared_folder, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: shingles of five words, similarity of 80 / 100 or more.
@@ -23,21 +23,29 @@ SHINGLE, NEAR, OF = 5, 80, 100
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model can name: those without a letter go.
 
-    The model learns from the labelled rows of the stage's own input, as the query op2 does.
+    The model learns from the labelled rows of the stage's own input, as the query op2 does.  Without
+    any to learn from, documents that have a letter stay.
     """
     out = langid.held_out(F.col("doc_id"), 3, 1)
-    labelled = langid.identify(docs.select(*COLUMNS), langid.fit(docs, ~out))
+    model = langid.fit(docs, ~out)
+    if model is None:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    labelled = langid.identify(docs.select(*COLUMNS), model)
     return labelled.where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id.
+    """One document of each group of near duplicates: the one of the smallest id, null ids last.
 
-    Rows that repeat an id stay if that id is its group's; documents without words stay.
+    Rows are told apart by a key of their own: of rows that repeat an id in one group, one (any)
+    stays.  Documents without words stay.
     """
-    groups = jaccard.join(docs, SHINGLE, NEAR, OF)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    groups = jaccard.join(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE, NEAR, OF)
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +59,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    found = decontaminate.digest(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """Documents that the benchmark does not contaminate, each row judged by its own text."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

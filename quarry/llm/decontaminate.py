@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -57,36 +57,60 @@ def _parts(benchmark: DataFrame, size: int, limit: int) -> Iterator[dict[bytes,
     yield part
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """One row per document row: n_words, n_hit, the items found, hit word ranges and byte spans.
-
-    A window is `window` consecutive words of one item; an item of fewer words is one window.  A
-    document word inside any occurrence is hit.  `spans` are byte offsets into the UTF-8 text as it
-    was given.  Null and empty texts have no words; repeated doc_ids stay separate rows; a null or
-    empty item is ignored, and items that share an id count once.  An empty benchmark hits nothing.
-    A benchmark of over `limit` bytes is scanned for by several automata, each broadcast on its own.
-    """
+def _scanner(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> Callable[[list, pa.Array], list[dict]]:
+    """A function of doc_ids and texts, for workers, that gives a row of `_SCHEMA` for each."""
     spark = docs.sparkSession
     small_batches(spark)
     run = uuid.uuid4().hex
     parts = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, window, limit)]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(ids: list, texts: pa.Array) -> list[dict]:
         built = []
         for i, p in enumerate(parts):
             if (key := (run, i)) not in _BUILT:
                 _BUILT[key] = _automaton(p.value) if p.value else None
             built.append(_BUILT[key])
         built = [a for a in built if a is not None and len(a)]
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for first, raw, off in text_chunks(batch.column(1)):
-                data = raw.tobytes().translate(_NORMAL)
-                for r in range(len(off) - 1):
-                    out.append(_document(ids[first + r], data[off[r] : off[r + 1]], built))
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, _SCHEMA)
+        out = []
+        for first, raw, off in text_chunks(texts):
+            data = raw.tobytes().translate(_NORMAL)
+            for r in range(len(off) - 1):
+                out.append(_document(ids[first + r], data[off[r] : off[r + 1]], built))
+        return out
+
+    return scan
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """One row per document row: n_words, n_hit, the items found, hit word ranges and byte spans.
+
+    A window is `window` consecutive words of one item; an item of fewer words is one window.  A
+    document word inside any occurrence is hit.  `spans` are byte offsets into the UTF-8 text as it
+    was given.  Null and empty texts have no words; repeated doc_ids stay separate rows; a null or
+    empty item is ignored, and items that share an id count once.  An empty benchmark hits nothing.
+    A benchmark of over `limit` bytes is scanned for by several automata, each broadcast on its own.
+    """
+    scan = _scanner(docs, benchmark, window, limit)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist(scan(b.column(0).to_pylist(), b.column(1)), schema=_ARROW)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, _SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """The input rows, with their columns, that the benchmark does not contaminate: each by its own text."""
+    scan = _scanner(docs, benchmark, window, limit)
+    base = docs.withColumn("text", F.col("text").cast("string"))
+    at = base.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = scan([None] * b.num_rows, b.column(at))
+            yield b.filter(pa.array([not contaminated(r["n_hit"], r["n_words"]) for r in found], pa.bool_()))
+
+    return base.mapInArrow(rows, base.schema)
 
 
 _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))

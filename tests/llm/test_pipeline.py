@@ -48,3 +48,27 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in step[5].collect()} == set(text[4])
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, step[5].collect()))
     assert langid.UND == "und"
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(n))
+    asked = make(20)
+    spark.createDataFrame([(1, asked)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = lambda i, t: (i, t, "en", "s", 1)
+    fine = [row(None, make(40)), row(None, make(40)), row(7, make(40)), row(8, make(40)), row(8, None)]
+    docs = spark.createDataFrame([*fine, row(None, asked), row(7, f"x {asked}")], DOCS)
+    assert sorted(map(str, corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect())) == sorted(map(str, spark.createDataFrame(fine, DOCS).collect()))
+
+    a, b, c, d, e = (make(60) for _ in range(5))
+    docs = spark.createDataFrame([row(5, a), row(5, a), row(5, a), row(3, b), row(5, b), row(None, c), row(None, c), row(None, d), row(9, d), row(5, e), row(6, ""), row(6, "")], DOCS)
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([("5", a), ("3", b), ("None", c), ("9", d), ("5", e), ("6", ""), ("6", "")])
+
+
+def test_documents_stay_without_a_language_model(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "漢字", None, "s", 1), (3, "12 !!", None, "s", 1), (4, None, None, "s", 1)], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.identify(spark, docs, str(tmp_path)).collect()} == {1, 2}
