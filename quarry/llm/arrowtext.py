@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch; texts may be long, so a batch is kept small.
 ARROW_ROWS = 256
-#: UTF-8 bytes handled by one numpy expression.
-CHUNK_BYTES = 1 << 20
+#: UTF-8 bytes, and words, handled by one numpy expression; one longer text is handled whole.
+CHUNK_BYTES = 1 << 18
+CHUNK_WORDS = 1 << 16
 
 _MASK = (1 << 64) - 1
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -59,17 +60,19 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(mul: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """mul**i and mul**-i modulo 2**64 for i < n."""
+    """mul**i and mul**-i modulo 2**64 for i < n.  A worker keeps them for a chunk, not for a longer text."""
     have = _POWERS.get(mul)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 2)
-        up = np.full(size, mul, np.uint64)
-        down = np.full(size, pow(mul, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.cumprod(up), np.cumprod(down)
-        _POWERS[mul] = have
-    return have
+    if have is not None and len(have[0]) >= n:
+        return have
+    up = np.full(max(n, CHUNK_WORDS), mul, np.uint64)
+    down = np.full(len(up), pow(mul, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    with np.errstate(over="ignore"):
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
+    if n <= CHUNK_BYTES + 2:
+        _POWERS[mul] = up, down
+    return up, down
 
 
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -129,18 +132,16 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
 def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of `size` word hashes, over row ends too: mask those yourself."""
     n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(_WMUL[which], len(words) + 1)
-    with np.errstate(over="ignore"):
-        acc = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=acc[1:])
-        return mix((acc[size : size + n] - acc[:n]) * down[:n] + np.uint64(size))
-
-
-def row_of(bounds: np.ndarray, n: int) -> np.ndarray:
-    """The row of each of n words."""
-    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
+    out = np.zeros(max(0, n), np.uint64)
+    for a in range(0, n, CHUNK_WORDS):
+        part = words[a : a + CHUNK_WORDS + size - 1]
+        k = len(part) - size + 1
+        up, down = _powers(_WMUL[which], len(part) + 1)
+        with np.errstate(over="ignore"):
+            acc = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=acc[1:])
+            out[a : a + k] = mix((acc[size : size + k] - acc[:k]) * down[:k] + np.uint64(size))
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ AUTOMATON_BYTES = 4 << 20
 #: A-Z to a-z, bytes outside a word to a space; byte positions do not move.
 _NORMAL = bytes(32 if NOT_ALNUM[b] else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, words array<struct<first:int,last:int>>, spans array<struct<start:int,stop:int>>"
-#: Automata that a Python worker has built, by run and part.
+#: Automata that a Python worker has built, by run and part: those of the latest run only.
 _BUILT: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
 
 
@@ -68,6 +68,8 @@ def _scanner(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) ->
         built = []
         for i, p in enumerate(parts):
             if (key := (run, i)) not in _BUILT:
+                for old in [k for k in _BUILT if k[0] != run]:
+                    del _BUILT[old]
                 _BUILT[key] = _automaton(p.value) if p.value else None
             built.append(_BUILT[key])
         built = [a for a in built if a is not None and len(a)]
