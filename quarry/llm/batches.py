@@ -13,14 +13,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrowtext import small_batches
 from quarry.llm.tables import text_bytes
 
 #: UTF-8 bytes of text in a batch, about; one longer document is a batch of its own size.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Shuffle partitions at most; beyond it a partition holds several batches, one after the other.
 MOST_PARTITIONS = 20_000
 
@@ -28,14 +28,18 @@ ASK = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("cell", pa.bina
 ASK_DDL = "bucket bigint, batch bigint, cell binary"
 
 
-def batched(docs: DataFrame, columns: list[str], batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, int]:
-    """(rows with a `batch` column laid out by it, batches, partitions).  Equal ids share a batch."""
+def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES, by: Column | None = None) -> tuple[DataFrame, int, int]:
+    """(rows with a `_batch` column laid out by it, batches, partitions).
+
+    A row's batch is drawn by the hash `by`, or else from its place in the input: then rows of one
+    id, null ids and equal texts are spread, and a task that reads a table again draws the same.
+    """
     small_batches(docs.sparkSession)
     _, size = text_bytes(docs)
     n = max(1, -(-size // batch_bytes))
     parts = min(n, MOST_PARTITIONS)
-    batch = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(n)).cast("bigint")
-    return docs.select(*columns, batch.alias("batch")).repartition(parts, "batch"), n, parts
+    batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()) if by is None else by, F.lit(n)).cast("bigint")
+    return docs.withColumn("_batch", batch).repartition(parts, "_batch"), n, parts
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,8 +67,3 @@ def answered(asked: DataFrame, parts: int, answer: Callable[[list[bytes], list[i
         return pa.table([t["bucket"].combine_chunks(), t["batch"].combine_chunks(), pa.array(answer(t["cell"].to_pylist(), batches), pa.binary())], schema=ASK)
 
     return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, ASK_DDL)
-
-
-def replies(t: pa.Table, runs: tuple) -> dict[int, bytes]:
-    """Bucket to reply cell."""
-    return dict(zip(t["bucket"].to_pylist(), t["cell"].to_pylist()))

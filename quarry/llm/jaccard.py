@@ -62,14 +62,14 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class for every row; class is null for an empty set."""
+    """doc_id, draw, n_shingles, class for every row; class is null for an empty set."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(pa.Table.from_batches([b]), size)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.binary())], names=["doc_id", "draw", "n_shingles", "class"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary")
+    return docs.select("doc_id", "text", "draw").mapInArrow(run, "doc_id bigint, draw bigint, n_shingles bigint, class binary")
 
 
 class _Batch:
@@ -205,11 +205,14 @@ def join(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100, batch
     as equal sets do; rows that share a doc_id are told apart by their sets.  A null doc_id counts
     as larger than any other.  An empty table gives no rows.
     """
-    rows = written(_classes(docs, shingle))
-    speakers = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    docs, buckets, parts = batched(docs, ["doc_id", "text"], batch_bytes)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("bigint")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    draw = F.xxhash64("doc_id", "text")  # rows of one id are spread by their texts
+    rows = written(_classes(docs.withColumn("draw", draw), shingle))
+    speaker = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "draw")).alias("s")
+    speakers = rows.where("class is not null").groupBy("class").agg(speaker).select("class", "s.doc_id", "s.draw")
+    docs, buckets, parts = batched(docs, batch_bytes, draw)
+    docs = docs.withColumnRenamed("_batch", "batch")
+    batch = F.pmod("draw", F.lit(buckets)).cast("bigint")
     mine = speakers.select(F.lit(-1).cast("bigint").alias("bucket"), batch.alias("batch"), F.col("class").alias("cell"))
 
     def ask(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:

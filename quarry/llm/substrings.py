@@ -5,6 +5,9 @@ d < V puts both i + d and j + d on residues of D.  So two equal windows of W wor
 of W - V + 1 words that starts, in both, at a position whose residue is in D.  Only such runs, the
 anchors, are hashed for the search; a window is compared as a whole only if it holds an anchor that
 occurs more than once in the corpus.
+
+Texts go into batches of a bounded size once.  What a batch asks is a table of hashes, a row for each
+distinct one, which Spark groups by hash; the rows that are answered go back to their batches.
 """
 
 from __future__ import annotations
@@ -17,9 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quarry.llm.arrowtext import SPACE, split_words, text_chunks, window_hashes, word_hashes
-from quarry.llm.batches import BATCH_BYTES, answered, asks, batched, by_bucket
+from quarry.llm.batches import BATCH_BYTES, batched
 
 WINDOW = 20
 #: A perfect difference cover, every difference modulo 13 once.
@@ -29,10 +33,10 @@ _LAST = np.int64(np.iinfo(np.int64).max)
 
 
 class _Batch:
-    """The words of one batch in the order of (doc_id, text), and its anchors."""
+    """The words of one batch in the order of (doc_id, tie), and its anchors."""
 
     def __init__(self, t: pa.Table, window: int) -> None:
-        self.table = t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.table = t = t.sort_by([("doc_id", "ascending"), ("_tie", "ascending")])
         self.window = window
         one, two, self.raw, bounds = [], [], [], [np.zeros(1, np.int64)]
         for _, raw, off in text_chunks(t["text"]):
@@ -48,30 +52,19 @@ class _Batch:
         lengths = np.diff(self.bounds)
         self.pos = np.arange(n) - np.repeat(self.bounds[:-1], lengths)
         self.left = np.repeat(lengths, lengths) - self.pos  # words from here to the end of the document
-        ids = t["doc_id"].fill_null(_LAST).to_numpy()
-        self.doc = np.repeat(ids, lengths)
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
         # Anchors only of documents that have a window at all.
         size = window - PERIOD + 1
         at = np.flatnonzero(_IN_COVER[self.pos % PERIOD] & (self.left >= size) & (self.pos + self.left >= window))
         self.anchor_at = at
-        hashes = window_hashes(self.one, size)[at] if len(at) else np.zeros(0, np.uint64)
-        self.anchors, self.anchor_of, count = np.unique(hashes & ~np.uint64(1), return_inverse=True, return_counts=True)
-        self.often = count > 1
-
-    def anchor_runs(self, buckets: int) -> tuple:
-        return by_bucket(self.anchors, buckets)
-
-    def anchor_cell(self, a: int, b: int) -> bytes:
-        """Hashes whose lowest bit says that the batch has the anchor more than once."""
-        return (self.anchors[a:b] | self.often[a:b].astype(np.uint64)).tobytes()
+        hashes = window_hashes(self.one, size)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+        self.anchors, self.anchor_of, self.count = np.unique(hashes, return_inverse=True, return_counts=True)
 
-    def candidates(self, cells: dict[int, bytes], buckets: int) -> None:
+    def candidates(self, repeated: np.ndarray) -> None:
         """Windows that hold a repeated anchor: first positions, distinct hashes, their first owners."""
-        repeated = np.zeros(len(self.anchors), bool)
-        for k, a, b in zip(*self.anchor_runs(buckets)):
-            repeated[a:b] = np.unpackbits(np.frombuffer(cells[k], np.uint8), count=b - a).astype(bool)
+        again = np.isin(self.anchors, repeated)
         mark = np.zeros(len(self.one) + PERIOD + 1, np.int64)
-        mark[self.anchor_at[repeated[self.anchor_of]] + 1] = 1
+        mark[self.anchor_at[again[self.anchor_of]] + 1] = 1
         have = np.cumsum(mark)
         i = np.flatnonzero(self.left >= self.window)
         self.at = i = i[have[i + PERIOD] > have[i]]
@@ -81,55 +74,26 @@ class _Batch:
         one, two = one[order], two[order]
         new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, bool)
         self.first = i[order[new]]  # the earliest position of each distinct window
-        self.w1, self.w2 = one[new], two[new]
+        self.w1, self.w2 = one[new].view(np.int64), two[new].view(np.int64)
         self.window_of = np.empty(len(i), np.int64)
         self.window_of[order] = np.cumsum(new) - 1
 
-    def window_runs(self, buckets: int) -> tuple:
-        return by_bucket(self.w1, buckets)
-
-    def window_cell(self, a: int, b: int) -> bytes:
-        return self.w1[a:b].tobytes() + self.w2[a:b].tobytes() + self.doc[self.first[a:b]].tobytes()
-
-    def removed(self, cells: dict[int, bytes], buckets: int) -> np.ndarray:
-        """Which words a window covers that starts earlier too."""
-        owner = np.zeros(len(self.w1), bool)
-        for k, a, b in zip(*self.window_runs(buckets)):
-            owner[a:b] = np.unpackbits(np.frombuffer(cells[k], np.uint8), count=b - a).astype(bool)
-        again = self.at[~(owner[self.window_of] & (self.first[self.window_of] == self.at))]
+    def removed(self, later: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which words a window covers that starts earlier too; `later` are windows that an earlier batch row has."""
+        gone = np.zeros(len(self.w1), bool)
+        mine = np.rec.fromarrays([self.w1, self.w2])
+        if len(later[0]) and len(mine):
+            gone[np.isin(mine, np.rec.fromarrays(list(later)))] = True
+        again = self.at[gone[self.window_of] | (self.first[self.window_of] != self.at)]
         step = np.zeros(len(self.one) + 1, np.int64)
         step[again] += 1
         step[again + self.window] -= 1
         return np.cumsum(step)[:-1] > 0
 
 
-def _repeated(cells: list[bytes], _: list[int]) -> list[bytes]:
-    """For each batch's anchors: one bit, set if the corpus has the anchor more than once."""
-    parts = [np.frombuffer(c, np.uint64) for c in cells]
-    every = np.concatenate(parts)
-    key, at, count = np.unique(every & ~np.uint64(1), return_inverse=True, return_counts=True)
-    many = count > 1
-    many[at[(every & np.uint64(1)) == 1]] = True
-    bits = many[at]
-    return [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum([len(p) for p in parts])[:-1])]
-
-
-def _owners(cells: list[bytes], _: list[int]) -> list[bytes]:
-    """For each batch's windows: one bit, set if the batch holds the window's first document."""
-    parts = [np.frombuffer(c, np.uint64).reshape(3, -1) for c in cells]
-    one, two, doc = np.concatenate(parts, axis=1)
-    doc = doc.view(np.int64)
-    order = np.lexsort((doc, two, one))
-    one, two = one[order], two[order]
-    first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-    bits = np.zeros(len(order), bool)
-    bits[order[first]] = True
-    return [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum([p.shape[1] for p in parts])[:-1])]
-
-
-def _cells(t: pa.Table, phase: int) -> dict[int, bytes]:
+def _told(t: pa.Table, phase: int) -> tuple[np.ndarray, np.ndarray]:
     own = t.filter(pc.equal(t["phase"], phase))
-    return dict(zip(own["bucket"].to_pylist(), own["cell"].to_pylist()))
+    return own["a"].to_numpy(), own["b"].to_numpy()
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -137,27 +101,30 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
 
     Words are runs without `[\\x20\\x09-\\x0D]`, unchanged.  A word is removed if some window of
     `window` words covers it whose word sequence also starts earlier: in a row of a smaller doc_id,
-    or earlier in the same row; rows of one doc_id go by their text, and of equal rows one (any) is
-    the first; null ids come last.  Windows are judged on the input.  `kept` holds the other words
-    joined by one space.  Null and empty texts, and those shorter than a window, lose nothing; an
-    empty table gives none.  Input columns of the names added here are replaced.  `digest` returns
-    doc_id, n_words, n_removed and kept_sha256 only.
+    or earlier in the same row; rows of one doc_id go by a hash of their text, equal rows by their
+    place in the input; null ids come last.  Windows are judged on the input.  `kept` holds the other
+    words joined by one space.  Null and empty texts, and those shorter than a window, lose nothing;
+    an empty table gives none.  Input columns of the names added here, and of `_tie` and `_batch`,
+    are replaced.  `digest` returns doc_id, n_words, n_removed and kept_sha256 only.
     """
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
-    added = ("n_words", "n_removed", "removed", "kept", "batch")
+    added = ("n_words", "n_removed", "removed", "kept", "_batch", "_tie")
     columns = ["doc_id", "text"] if digest else [c for c in docs.columns if c not in added]
-    rows, buckets, parts = batched(docs, columns, batch_bytes)
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
+    docs = docs.select(*columns).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
+    tie = F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows, _, parts = batched(docs.withColumn("_tie", tie), batch_bytes)
+    rows = rows.withColumn("_tie", F.concat(*[F.lpad(F.hex(F.col(f"_tie.{c}")), 16, "0") for c in ("text", "row")]))
 
     def ask_anchors(key: tuple, t: pa.Table) -> pa.Table:
         b = _Batch(t, window)
-        return asks(key[0].as_py(), b.anchor_runs(buckets), b.anchor_cell)
+        return pa.table([pa.array(b.anchors), pa.array(b.count.astype(np.int32)), pa.array(np.full(len(b.anchors), key[0].as_py()))], names=["a", "n", "_batch"])
 
     def ask_windows(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         b = _Batch(t, window)
-        b.candidates(_cells(told, 1), buckets)
-        return asks(key[0].as_py(), b.window_runs(buckets), b.window_cell)
+        b.candidates(told["a"].to_numpy())
+        row = pa.array(b.row[b.first])
+        return pa.table([pa.array(b.w1), pa.array(b.w2), b.table["doc_id"].fill_null(_LAST).take(row), b.table["doc_id"].is_null().take(row), b.table["_tie"].take(row), pa.array(np.full(len(row), key[0].as_py()))], names=["a", "b", "doc_id", "none", "_tie", "_batch"])
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] if digest else [*columns, "n_words", "n_removed", "removed", "kept"]
     spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
@@ -168,8 +135,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
 
     def cut(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         b = _Batch(t, window)
-        b.candidates(_cells(told, 1), buckets)
-        gone = b.removed(_cells(told, 2), buckets)
+        b.candidates(_told(told, 1)[0])
+        gone = b.removed(_told(told, 2))
         lost = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), b.bounds[:-1]) * (np.diff(b.bounds) > 0) if len(b.bounds) > 1 else np.zeros(0, np.int64)
         kept, ranges = [], []
         for r, data in enumerate(b.raw):
@@ -188,11 +155,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
         tail = [pa.array(kept, pa.string())] if digest else [pa.array(ranges, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string())]
         return pa.table([*head, n, pa.array(lost, pa.int64()), *tail], names=names)
 
-    anchors = answered(rows.groupBy("batch").applyInArrow(ask_anchors, "bucket bigint, batch bigint, cell binary"), parts, _repeated).withColumn("phase", F.lit(1))
-    asked = rows.groupBy("batch").cogroup(anchors.repartition(parts, "batch").groupBy("batch")).applyInArrow(ask_windows, "bucket bigint, batch bigint, cell binary")
-    windows = answered(asked, parts, _owners).withColumn("phase", F.lit(2))
-    told = anchors.unionByName(windows).repartition(parts, "batch")
-    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(cut, schema)
+    # A hash that a third of all documents hold is one row for each batch, and rows are never gathered:
+    # both windows below keep a running number or total only.
+    by_hash = Window.partitionBy("a")
+    anchors = rows.groupBy("_batch").applyInArrow(ask_anchors, "a bigint, n int, _batch bigint")
+    anchors = anchors.withColumn("n", F.sum("n").over(by_hash)).where("n > 1").select("a", F.lit(0).cast("bigint").alias("b"), "_batch", F.lit(1).alias("phase"))
+    told = anchors.repartition(parts, "_batch")
+    asked = rows.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(ask_windows, "a bigint, b bigint, doc_id bigint, none boolean, _tie string, _batch bigint")
+    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("none", "doc_id", "_tie"))
+    windows = asked.withColumn("nth", first).where("nth > 1").select("a", "b", "_batch", F.lit(2).alias("phase"))
+    told = anchors.unionByName(windows).repartition(parts, "_batch")
+    return rows.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(cut, schema)
 
 
 #: DuckDB SQL of `dedup(digest=True)`.
