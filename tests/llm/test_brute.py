@@ -177,46 +177,57 @@ def test_shards(spark):
     assert all(r.size == r.doc_id % 7 + 1 and r.text_crc32 == zlib.crc32(b"x" * (r.doc_id % 7)) for r in got.values())
 
 
-def test_scoring(spark, corpus):
-    train = [t for i, t in corpus if zlib.crc32(str(i).encode()) % 7 != 2]
-    count = Counter(w for t in train for w in words(t, True))
-    n, v = sum(count.values()) + len(train), len(count) + 1
-    got = {r.doc_id: r for r in suffixtree.score(frame(spark, corpus), batch_bytes=3000).collect()}
-    for i, t in corpus:
-        c = [count[w] for w in words(t, True)] + [len(train)]
+def brute_tree(train, order):
+    """P(symbol | before) of the suffix tree that `train`, lists of symbols, give; None is the end."""
+    count = Counter(x for t in train for x in t)
+    n, v = sum(count.values()), len(count)
+    follow = {}
+    for t in train:
+        padded = [None] * order + t
+        for i, x in enumerate(t):
+            for k in range(1, order + 1):
+                follow.setdefault(tuple(padded[i + order - k : i + order]), Counter())[x] += 1
+    nodes = set()
+
+    def p(x, before):
+        for k in range(len(before)):
+            own = follow.get(before[k:])
+            if own is not None and before[k:] in nodes:
+                total = sum(own.values())
+                return (max(own[x] - suffixtree.DISCOUNT, 0) + suffixtree.DISCOUNT * len(own) * p(x, before[k + 1 :])) / total
+        return (count[x] + 1) / (n + v + 1)
+
+    for c in sorted(follow, key=len):  # a node's test looks at shorter contexts only
+        own, total = follow[c], sum(follow[c].values())
+        if total >= suffixtree.LEAST:
+            code = {x: min(255, round(-suffixtree.PARTS * math.log(p(x, c[1:])))) for x in own}
+            gain = sum(m * (math.log(m / total) + code[x] / suffixtree.PARTS) for x, m in own.items())
+            if gain >= suffixtree.GAIN * len(own):
+                nodes.add(c)
+    return p, count, n, v, nodes
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scoring(spark, corpus, order):
+    symbols = {i: [*words(t, True), None] for i, t in corpus}
+    train = [s for i, s in symbols.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    p, count, n, v, nodes = brute_tree(train, order)
+    assert all(any(len(c) == k for c in nodes) for k in range(1, order + 1))
+    got = {r.doc_id: r for r in suffixtree.score(frame(spark, corpus), order=order, batch_bytes=3000).collect()}
+    for i, s in symbols.items():
+        padded = [None] * order + s
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(c), sum(x > 0 for x in c), n)
-        assert r.base_score == pytest.approx(sum(math.log10((x + 1) / (n + v + 1)) for x in c))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(s), sum(count[x] > 0 for x in s), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in s))
+        assert r.score == pytest.approx(sum(math.log10(p(x, tuple(padded[k : k + order]))) for k, x in enumerate(s)))
 
 
-def test_tree_is_a_distribution_with_longest_suffixes():
-    import numpy as np
-
+def test_tree_is_a_distribution():
     rng = random.Random(11)
-    texts = [" ".join(rng.choice(["the", "then", "hen", "ab"]) for _ in range(30)).encode() for _ in range(40)]
-    syms = [np.frombuffer(suffixtree.stream(t), np.uint8) for t in texts]
-    code, n = np.unique(np.concatenate([suffixtree._grams(s, np.array([0, len(s)])) for s in syms]), return_counts=True)
-    levels = []
-    for k in range(suffixtree.DEPTH + 1):
-        level = {}
-        for c, m in zip(code.tolist(), n.tolist()):
-            c &= (1 << 8 * (k + 1)) - 1
-            row = level.setdefault(c >> 8, {})
-            row[c & 255] = row.get(c & 255, 0) + m
-        levels.append(level)
-    tree = suffixtree.Tree(levels)
-    assert tree.nodes > 5
-    every = 10.0 ** tree.log[:, tree.column]
-    assert np.allclose(every.sum(axis=1), 1, atol=1e-4)
-    # The state after any text is the longest suffix that is a state: walking from the root over
-    # more of the past never changes it.
-    s = syms[0]
-    logs = tree.logs(s)
-    for k in range(20, 60):
-        state = 0
-        for b in s[:k]:
-            state = tree.next[state, tree.column[b]]
-        assert logs[k] == pytest.approx(tree.log[state, tree.column[s[k]]])
+    train = [[*(rng.choice(["the", "then", "hen", "ab"]) for _ in range(30)), None] for _ in range(40)]
+    p, count, _, _, nodes = brute_tree(train, 2)
+    for before in [(None, None), ("the", "then"), ("zz", "ab"), ("ab", "zz"), *list(nodes)[:20]]:
+        assert sum(p(x, before) for x in [*count, "unknown"]) == pytest.approx(1)
 
 
 def test_language_accuracy(spark):
