@@ -18,18 +18,18 @@ from pyspark.sql.window import Window
 
 from quarry.llm.arrowtext import small_batches
 
-#: The training sample: so many documents of each language at most, by the smallest hashes of their ids.
-SAMPLE_PER_LANG = 240
-LANDMARKS_PER_LANG = 48
-#: Languages that are learned at most, by the number of documents.
-LANGUAGES = 64
+#: The training sample, of which every language has the same share: so many documents of each at most,
+#: and so many in all, by the smallest hashes of id and text.  Landmarks are the first of them.
+SAMPLE_PER_LANG, SAMPLE = 240, 15_360
+LANDMARKS_PER_LANG, LANDMARKS = 48, 768
 RIDGE = 1e-3
 SHARPNESS = 6.0
 UND = "und"
-#: Character classes: 0 any run of non-letters, 1 a letter outside the alphabet, the rest letters.
-CLASSES = 64
-_BI, _TRI = CLASSES, CLASSES + CLASSES**2
-_SPACE = _TRI + CLASSES**3
+#: Numbers that n-grams of code points are hashed to.
+SPACE = 1 << 19
+#: Texts of one matrix product.
+BLOCK = 32
+_LETTERS: list[np.ndarray] = []
 
 
 def held_out(doc_id, mod: int, rest: int):
@@ -37,71 +37,78 @@ def held_out(doc_id, mod: int, rest: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def class_table(alphabet: str) -> np.ndarray:
-    """The class of every code point."""
-    out = np.zeros(0x110000, np.uint8)
-    at = {c: i + 2 for i, c in enumerate(alphabet)}
-    for p in range(0x110000):
-        c = chr(p)
-        if unicodedata.category(c)[0] == "L":
-            out[p] = at.get(c.lower()[:1], 1)
-    return out
+def letters() -> np.ndarray:
+    """Every code point's lower-case letter, 0 for what is no letter; made once in a process."""
+    if not _LETTERS:
+        out = np.zeros(0x110000, np.uint64)
+        for p in range(0x110000):
+            if unicodedata.category(c := chr(p))[0] == "L":
+                out[p] = ord(c.lower()[0])
+        _LETTERS.append(out)
+    return _LETTERS[0]
 
 
-def ngrams(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Sorted codes of the n-grams in a text; empty without a letter."""
+def ngrams(text: str | None) -> np.ndarray:
+    """Sorted numbers of the n-grams in a text, any run of other characters being one; empty without a letter."""
     if not text:
         return np.zeros(0, np.int32)
-    c = table[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+    c = letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     if not c.any():
         return np.zeros(0, np.int32)
-    c = np.concatenate([[0], c[(c > 0) | (np.concatenate([[0], c[:-1]]) > 0)], [0]]).astype(np.int32)
-    two = c[:-1] * CLASSES + c[1:]
-    seen = np.zeros(_SPACE, bool)
-    seen[c] = True
-    seen[_BI + two] = True
-    seen[_TRI + two[:-1] * CLASSES + c[2:]] = True
+    none = np.zeros(1, np.uint64)
+    c = np.concatenate([none, c[(c > 0) | (np.concatenate([none, c[:-1]]) > 0)], none])
+    c[c == 0] = 1  # no letter: then n-grams of two lengths are never one number
+    seen = np.zeros(SPACE, bool)
+    code = c
+    with np.errstate(over="ignore"):
+        for n in (1, 2, 3):
+            code = c if n == 1 else (code[:-1] << np.uint64(21)) | c[n - 1 :]
+            seen[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
 class Model:
-    """Landmarks as a 0/1 matrix over the n-grams that any of them has, and their weights."""
+    """Landmarks' weights, added up for each n-gram that any landmark has."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, np.ndarray]], alphabet: str) -> None:
-        self.langs, self.alphabet, self.table = langs, alphabet, None
+    def __init__(self, langs: list[str], rows: list[tuple[str, np.ndarray]]) -> None:
+        self.langs = langs
         taken: dict[str, int] = {}
         marks = []
         for lang, grams in rows:
-            if taken.setdefault(lang, 0) < LANDMARKS_PER_LANG:
+            if taken.setdefault(lang, 0) < min(LANDMARKS_PER_LANG, max(1, LANDMARKS // len(langs))):
                 taken[lang] += 1
                 marks.append(grams)
-        self.column = np.full(_SPACE, -1, np.int32)
+        self.column = np.full(SPACE, -1, np.int32)
         known = np.unique(np.concatenate(marks))
         self.column[known] = np.arange(len(known))
-        self.marks = np.zeros((len(known), len(marks)), np.float32)
+        spread = np.zeros((len(known), len(marks)), np.float32)
         for j, g in enumerate(marks):
-            self.marks[self.column[g], j] = 1 / np.sqrt(len(g))
-        kmm = self._kernel(marks).astype(np.float64)
+            spread[self.column[g], j] = 1 / np.sqrt(len(g))
+        kmm = self._product(marks, spread).astype(np.float64)
         val, vec = np.linalg.eigh((kmm + kmm.T) / 2)
         keep = val > 1e-6
         root = vec[:, keep] / np.sqrt(val[keep])
-        phi = self._kernel([g for _, g in rows]) @ root
+        phi = self._product([g for _, g in rows], spread) @ root
         y = np.where(np.array([[lang == k for k in langs] for lang, _ in rows]), 1.0, -1.0)
         w = np.linalg.solve(phi.T @ phi + RIDGE * len(rows) * np.eye(phi.shape[1]), phi.T @ y)
-        self.weights = (root @ w).astype(np.float32)
-
-    def _kernel(self, grams: list[np.ndarray]) -> np.ndarray:
-        p = np.zeros((len(grams), len(self.marks)), np.float32)
-        for i, g in enumerate(grams):
-            c = self.column[g]
-            p[i, c[c >= 0]] = 1 / np.sqrt(max(1, len(g)))
-        return p @ self.marks
+        # The kernel with all landmarks times their weights is one product: (texts x n-grams) (n-grams x languages).
+        self.weights = spread @ (root @ w).astype(np.float32)
+
+    def _product(self, grams: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+        """The texts' normalised n-gram vectors times `right`, block by block."""
+        out = np.zeros((len(grams), right.shape[1]), np.float32)
+        p = np.zeros((BLOCK, len(right)), np.float32)
+        for a in range(0, len(grams), BLOCK):
+            p[:] = 0
+            for i, g in enumerate(grams[a : a + BLOCK]):
+                c = self.column[g]
+                p[i, c[c >= 0]] = 1 / np.sqrt(max(1, len(g)))
+            out[a : a + BLOCK] = (p @ right)[: len(grams) - a]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if self.table is None:
-            self.table = class_table(self.alphabet)
-        grams = [ngrams(t, self.table) for t in texts]
-        f = SHARPNESS * (self._kernel(grams) @ self.weights).astype(np.float64)
+        grams = [ngrams(t) for t in texts]
+        f = SHARPNESS * self._product(grams, self.weights).astype(np.float64)
         p = np.exp(f - f.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -109,34 +116,35 @@ class Model:
         return [self.langs[b] if s else UND for b, s in zip(best, some)], np.where(some, p.max(axis=1), 0.0)
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ngrams(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["lang", "h", "grams"])
+
+
 def fit(docs: DataFrame, training) -> Model | None:
-    """A model from the rows where `training` holds and lang is not null; None without any."""
-    spark = docs.sparkSession
+    """A model from the rows where `training` holds and lang is not null; None without any.
+
+    Every language of these rows is learned.  Rows of one id, text and language count once.
+    """
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
         return None
-    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_PER_LANG)
-    wanted = [r.doc_id for r in ids.select("doc_id").distinct().collect()]  # at most SAMPLE_PER_LANG * LANGUAGES
-    sample = rows.where(F.col("doc_id").isin(wanted) & F.col("lang").isin(langs)).select("doc_id", "lang", F.lower("text").alias("text"))
-    letters = sample.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where(F.col("c").rlike(r"^\p{L}$"))
-    alphabet = "".join(r.c for r in letters.groupBy("c").count().orderBy(F.desc("count"), "c").limit(CLASSES - 2).collect())
-    shared = spark.sparkContext.broadcast(alphabet)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = class_table(shared.value)
-        for b in batches:
-            g = [ngrams(t, table).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g, pa.binary())], names=["doc_id", "lang", "grams"])
-
-    got = sample.select(F.col("doc_id").cast("bigint"), "lang", "text").mapInArrow(grams, "doc_id bigint, lang string, grams binary").collect()
-    got = sorted(((r.doc_id, r.lang, np.frombuffer(r.grams, np.int32)) for r in got if r.grams), key=lambda r: (r[0] * 2654435761 % 2**32, r[0], r[1]))
-    return Model([k for k in langs if any(r[1] == k for r in got)], [(lang, g) for _, lang, g in got], alphabet) if got else None
+    each = min(SAMPLE_PER_LANG, max(1, SAMPLE // len(counts)))
+    # A share of a language's rows that holds four times its sample: what is ranked is bounded, however large the corpus.
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * each / r["count"])) for r in counts], "lang string, share double")
+    some = rows.join(shares, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
+    some = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).where(F.col("n") <= each)
+    got = picked.select("lang", "h", "text").mapInArrow(_grams, "lang string, h bigint, grams binary").toArrow()  # at most SAMPLE texts' n-grams
+    found = sorted((h * 2654435761 % 2**32, h, lang, g) for lang, h, g in zip(*(got[c].to_pylist() for c in ("lang", "h", "grams"))) if g)
+    langs = [r.lang for r in sorted(counts, key=lambda r: (-r["count"], r.lang)) if any(x[2] == r.lang for x in found)]
+    return Model(langs, [(lang, np.frombuffer(g, np.int32)) for _, _, lang, g in found]) if found else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The input rows' columns plus lang_pred and score, from the text alone.
+    """The input rows' columns plus lang_pred and score, from the text alone; columns of these names are replaced.
 
     A null text, and one without a letter, is `und` with score 0; so is every row without a model.
     """

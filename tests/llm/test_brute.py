@@ -238,6 +238,37 @@ def test_language_accuracy(spark):
     assert len(got) > 40 and sum(r.lang_pred == rows[r.doc_id][2] for r in got) >= 0.98 * len(got)
 
 
+def test_language_accuracy_in_four_scripts(spark):
+    rng = random.Random(14)
+    scripts = {"zh": (0x4E00, 400), "ko": (0xAC00, 300), "am": (0x1200, 60), "ru": (0x430, 32)}
+    rows = [(k, "".join(chr(scripts[lang][0] + min(rng.randrange(scripts[lang][1]), rng.randrange(scripts[lang][1]))) + rng.choice(["", " "]) for _ in range(rng.randrange(8, 60))), lang) for k, lang in enumerate(rng.choice(list(scripts)) for _ in range(300))]
+    got = langid.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("held_out").collect()
+    assert len(got) > 60 and sum(r.lang_pred == rows[r.doc_id][2] for r in got) >= 0.98 * len(got)
+
+
+def test_kernel_and_ridge_by_definition():
+    import numpy as np
+
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcdeàß ,.") for _ in range(rng.randrange(5, 80))) + "x" for _ in range(40)]
+    rows = [(rng.choice(["en", "fr"]), t) for t in texts]
+    sets = []
+    for _, t in rows:
+        s = " " + re.sub(r"[^a-zàß]+", " ", t.lower()) + " "
+        s = re.sub(" +", " ", s)
+        sets.append({s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)})
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    for (_, t), s in zip(rows, sets):
+        assert len(langid.ngrams(t)) == len(s)
+    model = langid.Model(["en", "fr"], [(lang, langid.ngrams(t)) for lang, t in rows])
+    # All texts are landmarks: the Nystroem kernel is the kernel, and ridge regression has its dual form.
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == x else -1.0 for x in ("en", "fr")] for lang, _ in rows])
+    want = k @ np.linalg.solve(k + langid.RIDGE * len(rows) * np.eye(len(rows)), y)
+    got = model._product([langid.ngrams(t) for t in texts], model.weights)
+    assert np.allclose(got, want, atol=2e-2)
+
+
 def test_toxic_accuracy(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice(["th", "en", "or", "at", "ing"]) for _ in range(rng.randrange(1, 5)))
