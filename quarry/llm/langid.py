@@ -134,7 +134,8 @@ def fit(docs: DataFrame, training) -> Model | None:
     each = min(SAMPLE_PER_LANG, max(1, SAMPLE // len(counts)))
     # A share of a language's rows that holds four times its sample: what is ranked is bounded, however large the corpus.
     shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * each / r["count"])) for r in counts], "lang string, share double")
-    some = rows.join(shares, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
+    # Broadcast: as many rows as there are languages, which the driver holds already.
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
     some = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
     picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).where(F.col("n") <= each)
     got = picked.select("lang", "h", "text").mapInArrow(_grams, "lang string, h bigint, grams binary").toArrow()  # at most SAMPLE texts' n-grams
