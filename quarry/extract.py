@@ -120,7 +120,7 @@ def extracted(files: DataFrame) -> DataFrame:
             yield out.astype({"file_id": "int64", "start_line": "int32", "end_line": "int32", "ordinal": "int32"})
 
     found = files.select("file_id", "lang", "text").mapInPandas(run, SCHEMA)
-    return found.withColumn("symbol_id", F.col("file_id") * 1_000_000 + F.col("ordinal")).drop("ordinal")
+    return found.withColumn("symbol_id", F.xxhash64("file_id", "ordinal").bitwiseAND(F.lit((1 << 63) - 1))).drop("ordinal")
 
 
 CODE = ("bash", "c", "cpp", "csharp", "elixir", "go", "haskell", "java", "javascript", "kotlin", "lua", "php", "ruby", "rust", "scala", "swift", "typescript", "zig")

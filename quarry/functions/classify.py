@@ -8,22 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.languages import LANGUAGES
 from quarry.functions.text import path_name
 
-#: Languages by extension or whole file name.
-LANGUAGES = """
-bash .sh .bash .zsh; c .c .h; cpp .cpp .cc .cxx .hpp .hxx .h++; csharp .cs; css .css; csv .csv; cmake .cmake CMakeLists.txt
-clojure .clj .cljs .cljc .edn; commonlisp .lisp .cl; cuda .cu .cuh; d .d; dart .dart; dockerfile Dockerfile; elisp .el
-elixir .ex .exs; elm .elm; erlang .erl .hrl; fish .fish; fortran .f .f90 .f95 .f03 .f08; gitattributes .gitattributes
-gitignore .gitignore; glsl .glsl .vert .frag; go .go; gomod go.mod; gosum go.sum; groovy .groovy; haskell .hs
-hcl .hcl .tf .tfvars; html .html .htm; java .java; javascript .js .jsx .mjs; json .json; julia .jl; kotlin .kt .kts
-latex .tex .sty .cls; lua .lua; make Makefile .mk; markdown .md .markdown; matlab .m .mat; meson meson.build; nix .nix
-objc .mm; ocaml .ml; ocaml_interface .mli; org .org; pascal .pas .pp; pem .pem; perl .pl .pm; php .php; powershell .ps1 .psm1
-properties .properties; proto .proto; psv .psv; pymanifest MANIFEST.in; python .py; r .r .R; racket .rkt
-requirements requirements.txt; rst .rst; ruby .rb; rust .rs; scala .scala .sc; scheme .scm .ss; scss .scss; solidity .sol
-sql .sql; starlark .bzl BUILD WORKSPACE; svelte .svelte; swift .swift; tcl .tcl; thrift .thrift; toml .toml; tsv .tsv
-typescript .tsx .ts; verilog .sv .v; vhdl .vhd .vhdl; vim .vim .vimrc; vue .vue; xml .xml .svg .xsl; zig .zig
-"""
+#: The languages of each category and the words of a test's name, the defaults that settings change.
 DOCS = ("markdown", "markdown_inline", "html", "rst", "asciidoc", "latex")
 CONFIG = (
     "toml", "yaml", "json", "ini", "xml", "dockerfile", "make", "cmake", "hcl", "terraform", "properties",
@@ -55,13 +43,12 @@ class Categories:
     markers: tuple[str, ...] = MARKERS
 
 
-def language_table(spark: SparkSession, listing: str = LANGUAGES) -> DataFrame:
-    """(file_key, lang): some 200 rows at most, so joins broadcast it."""
-    rows = [(key, lang) for entry in re.split(r"[;\n]", listing) if entry.strip() for lang, *keys in [entry.split()] for key in keys]
-    return spark.createDataFrame(rows, "file_key string, lang string")
+def language_table(spark: SparkSession, listing: dict[str, str]) -> DataFrame:
+    """(file_key, lang): a row for each key of the listing, some 200, so joins broadcast it."""
+    return spark.createDataFrame(list(listing.items()), "file_key string, lang string")
 
 
-def with_language(files: DataFrame, listing: str = LANGUAGES) -> DataFrame:
+def with_language(files: DataFrame, listing: dict[str, str] = LANGUAGES) -> DataFrame:
     """`lang` by the whole name, else by the last extension; null if unknown.
 
     Leading dots do not start an extension.
@@ -77,6 +64,7 @@ def with_language(files: DataFrame, listing: str = LANGUAGES) -> DataFrame:
 
 def is_test(path: Column, markers: tuple[str, ...] = MARKERS) -> Column:
     """A test directory, a delimited part of a name, or camel case before the extension."""
+    # How a name is marked.
     if not markers:
         return F.lit(False)
     one = "|".join(map(re.escape, markers))
@@ -113,12 +101,12 @@ def path_penalty(path: Column) -> Column:
     )
 
 
-def indexable(files: DataFrame, max_bytes: int = 1_000_000, excluded: tuple[str, ...] = ("data",)) -> DataFrame:
+def indexable(files: DataFrame, max_bytes: int = 1_000_000, excluded: tuple[str, ...] = ("data",), by: Categories = Categories()) -> DataFrame:
     """Known languages but keys, small enough, one path per real path, not of an excluded category."""
     known = with_language(files).where("lang is not null and lang <> 'pem'").where(F.col("size") <= max_bytes)
     first = known.groupBy("real_path").agg(F.min("path").alias("path"))
     known = known.join(first.select("path"), "path", "left_semi")
-    return known.withColumn("content_type", content_type(F.col("lang"), F.col("path"))).where(~F.col("content_type").isin(list(excluded)))
+    return known.withColumn("content_type", content_type(F.col("lang"), F.col("path"), by)).where(~F.col("content_type").isin(list(excluded)))
 
 
 def looks_generated(text: Column) -> Column:

@@ -75,22 +75,34 @@ class Index:
         self.home.mkdir(parents=True, exist_ok=True)
         (self.home / ".gitignore").write_text("*\n")
         walked = tree(self.spark, self.root, s.gitignore, s.hard_exclude)
-        walked = classify.indexable(walked, s.max_file_bytes, s.index_excluded).withColumn("file_id", F.xxhash64("path").bitwiseAND(F.lit((1 << 40) - 1)))
+        by = classify.Categories(s.doc_languages, s.config_languages, s.data_languages, s.test_markers)
+        walked = classify.indexable(walked, s.max_file_bytes, s.index_excluded, by).withColumn("file_id", F.xxhash64("path").bitwiseAND(F.lit((1 << 63) - 1)))
         version = f"v{int(old.get('version', 'v0')[1:]) + 1 if old else int(time.time() * 1000)}"
         out = self.home / version
         known = {t: self.table(t) for t in TABLES} if old else {}
         walked.write.parquet(str(out / "walked"))
         walked = self.spark.read.parquet(str(out / "walked"))
         if old:
-            states = refresh.diff(walked, known["file"])
-            todo = walked.join(states.where("state in ('added', 'changed')"), "path", "left_semi")
-            gone = states.where("state in ('deleted', 'changed')")
-            counts = refresh.report(states).first()
+            # Generated files are known too: unchanged ones are not read again.  Unreadable ones come with the next walk.
+            seen = known["file"].select("path", "mtime_ns", "size").unionByName(self.table("skipped"))
+            states = refresh.diff(walked, seen).where("state <> 'same'")
+            states.write.parquet(str(out / "states"))
+            states = self.spark.read.parquet(str(out / "states"))
+            if states.isEmpty():
+                shutil.rmtree(out)
+                self._swap(old["version"], {k: v for k, v in old.items() if k != "version"} | {"scanned": time.time()})
+                return {"added": 0, "changed": 0, "deleted": 0, "elapsed_s": round(time.time() - began, 3)}
+            todo = walked.join(states.where("state <> 'deleted'"), "path", "left_semi")
+            gone = states.where("state <> 'added'")
         else:
-            todo, gone, counts = walked, None, None
-        fresh = with_text(todo, self.root).where(~classify.looks_generated(F.col("text")))
-        fresh.write.parquet(str(out / "fresh"))
-        fresh = self.spark.read.parquet(str(out / "fresh"))
+            todo, gone = walked, None
+        read = with_text(todo, self.root).withColumn("generated", classify.looks_generated(F.col("text")))
+        read.withColumn("text", F.when(~F.col("generated"), F.col("text"))).write.parquet(str(out / "fresh"))
+        read = self.spark.read.parquet(str(out / "fresh"))
+        fresh, skipped = read.where("not generated").drop("generated"), read.where("generated").select("path", "mtime_ns", "size")
+        if old:
+            skipped = refresh.without(self.table("skipped"), states).unionByName(skipped)
+        skipped.write.parquet(str(out / "skipped"))
         files = fresh.select("file_id", "path", "mtime_ns", "size", "lang", text.humanise(F.col("path")).alias("path_words"), "content_type")
         found = extract.extracted(fresh)
         defs = found.where("tag = 'def'").withColumn("enclosing_id", F.lit(None).cast("bigint"))
@@ -108,19 +120,20 @@ class Index:
         need = stored.join(have.select("chunk_id"), "chunk_id", "left_anti") if old else stored
         made = self._encoded(need.select("chunk_id", F.concat(F.lit(self.prefixes[1]), "text").alias("text"))).select("chunk_id", "vec")
         (have.unionByName(made) if old else made).write.parquet(str(out / "vector"))
-        n = files.count() if counts is None else None
-        for part in ("walked", "fresh"):
-            shutil.rmtree(out / part)
+        now, before = files.select("path"), known["file"].select("path") if old else files.select("path").limit(0)
+        both = now.join(before.withColumn("old", F.lit(1)), "path", "left").agg(F.count("*").alias("n"), F.count("old").alias("changed")).first()
+        lost = before.join(gone.select("path"), "path", "left_semi").join(now, "path", "left_anti").count() if old else 0
+        for part in ("walked", "fresh", "states"):
+            shutil.rmtree(out / part, ignore_errors=True)
         self._swap(version, {"identity": identity(s), "scanned": time.time()})
         for p in self.home.glob("v*"):  # readers of the version before keep theirs
             if p.name not in (version, old.get("version")):
                 shutil.rmtree(p, ignore_errors=True)
-        report = {"added": n, "changed": 0, "deleted": 0} if counts is None else counts.asDict()
-        return report | {"elapsed_s": round(time.time() - began, 3)}
+        return {"added": both.n - both.changed, "changed": both.changed, "deleted": lost, "elapsed_s": round(time.time() - began, 3)}
 
     def _chunks(self, files: DataFrame, defs: DataFrame) -> DataFrame:
         s = self.settings
-        own = ch.definition_chunks(defs, files)
+        own = ch.definition_chunks(defs, files, s.max_chunk_lines)
         windows = ch.bounded(ch.line_windows(files, s.window_chars))
         if s.coverage == "hybrid":
             windows = ch.uncovered(windows, defs)
@@ -183,7 +196,7 @@ class Index:
         tiers = fusion.ranked(exact, "exact").unionByName(fusion.ranked(lexical.top(words, s.candidate_depth), "lexical"))
         if s.embed_backend != "none":
             tiers = tiers.unionByName(fusion.ranked(near, "vector"))
-        fused = fusion.first_tier(tiers) if s.ranker == "none" else fusion.reciprocal_rank(tiers, fusion.weights(q, s.adaptive_alpha))
+        fused = fusion.first_tier(tiers) if s.ranker == "none" else fusion.reciprocal_rank(tiers, fusion.weights(q, s.adaptive_alpha, s.alpha_prose, s.alpha_symbol))
         c = fusion.min_max(fused).join(held.select("chunk_id", "path", "text"), "chunk_id").select("query_id", "chunk_id", "path", "text", "score")
         if s.rerank:
             c = rerank.coherence(c, s.file_coherence)

@@ -36,9 +36,9 @@ def bounded(windows: DataFrame) -> DataFrame:
     return windows.withColumn("text", text).where(F.char_length(stripped(F.col("text"))) >= LEAST_CHARS)
 
 
-def definition_chunks(defs: DataFrame, files: DataFrame) -> DataFrame:
-    """A chunk for each definition: its first 200 lines, if 60 to 20,000 characters."""
-    last = F.least(F.col("end_line"), F.col("start_line") + MOST_LINES - 1)
+def definition_chunks(defs: DataFrame, files: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+    """A chunk for each definition: its first `most_lines` lines, if 60 to 20,000 characters."""
+    last = F.least(F.col("end_line"), F.col("start_line") + most_lines - 1)
     text = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     out = defs.withColumn("end_line", last).join(files.select("file_id", "path", "text"), "file_id").withColumn("text", text)
     return out.where(F.char_length("text").between(LEAST_CHARS, MOST_CHARS)).select("file_id", "path", "symbol_id", "start_line", "end_line", "text")

@@ -18,9 +18,9 @@ def ranked(tier: DataFrame, name: str) -> DataFrame:
     return tier.select("query_id", F.lit(name).alias("tier"), "chunk_id", F.row_number().over(w).alias("rank"), F.col("score").cast("double").alias("raw"))
 
 
-def weights(queries: DataFrame, adaptive: bool = True) -> DataFrame:
+def weights(queries: DataFrame, adaptive: bool = True, prose: float = ALPHA_PROSE, symbol: float = ALPHA_SYMBOL) -> DataFrame:
     """(query_id, tier, weight); `queries` has is_prose."""
-    alpha = F.when(F.col("is_prose"), ALPHA_PROSE).otherwise(ALPHA_SYMBOL) if adaptive else F.lit(0.5)
+    alpha = F.when(F.col("is_prose"), prose).otherwise(symbol) if adaptive else F.lit(0.5)
     each = F.array(
         F.struct(F.lit("exact").alias("tier"), F.lit(1.0).alias("weight")),
         F.struct(F.lit("vector").alias("tier"), alpha.alias("weight")),

@@ -114,3 +114,49 @@ def test_settings(tmp_path):
             load(None, repo, {})
     repo.write_text(as_toml(s))
     assert load(None, repo, {}) == s
+
+
+def test_unchanged_tree_reports_nothing(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def one():\n    return 1\n")
+    (tmp_path / "bundle.js").write_text("x" * 32_000)
+    index = Index(spark, str(tmp_path), Settings(refresh_mode="manual"))
+    assert index.refresh()["added"] == 1
+    before = index.meta()["version"]
+    again = index.refresh()
+    assert (again["added"], again["changed"], again["deleted"]) == (0, 0, 0) and index.meta()["version"] == before
+    (tmp_path / "bundle.js").write_text("var a = 1;\n" * 30)
+    (tmp_path / "a.py").write_text("z = 1\n" + "y" * 32_000)
+    third = index.refresh()
+    assert (third["added"], third["changed"], third["deleted"]) == (1, 0, 1)
+    assert [r.path for r in index.table("file").collect()] == ["bundle.js"]
+
+
+def test_settings_shape_the_index(spark, tmp_path):
+    body = "def long():\n" + "".join(f"    value_{i} = compute({i})\n" for i in range(40))
+    (tmp_path / "a.py").write_text(body)
+    (tmp_path / "check_a.py").write_text(body.replace("long", "other"))
+    settings = Settings(refresh_mode="manual", max_chunk_lines=10, test_markers=("check",), doc_languages=("toml",), config_languages=())
+    (tmp_path / "b.toml").write_text("[x]\n" + "key = 'a value of some length'\n" * 5)
+    index = Index(spark, str(tmp_path), settings)
+    index.refresh()
+    kinds = {r.path: r.content_type for r in index.table("file").collect()}
+    assert kinds == {"a.py": "code", "check_a.py": "tests", "b.toml": "docs"}
+    spans = index.table("chunk").where("symbol_id is not null").selectExpr("max(end_line - start_line + 1)").first()[0]
+    assert spans == 10
+
+
+def test_weights_follow_the_settings(spark):
+    from quarry.operators import fusion
+
+    q = spark.createDataFrame([(1, True), (2, False)], "query_id int, is_prose boolean")
+    got = {(r.query_id, r.tier): round(r.weight, 6) for r in fusion.weights(q, True, 0.9, 0.2).collect()}
+    assert got[1, "vector"] == 0.9 and got[1, "lexical"] == 0.1 and got[2, "vector"] == 0.2 and got[2, "lexical"] == 0.8
+
+
+def test_every_language_key(spark):
+    from quarry.functions import classify
+    from quarry.functions.languages import LANGUAGES
+
+    paths = [(f"d/x{k}" if k.startswith(".") else f"d/{k}", v) for k, v in LANGUAGES.items()]
+    got = {r.path: r.lang for r in classify.with_language(spark.createDataFrame([(p,) for p, _ in paths], "path string")).collect()}
+    assert got == dict(paths)
