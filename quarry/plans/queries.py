@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import classify, text
+from quarry.functions.languages import LANGUAGES
 from quarry.operators import chunks as ch
 from quarry.operators import evaluate, fusion, lexical, refresh, rerank, symbols, vectors
 from quarry.plans import proxies as px
@@ -151,14 +152,23 @@ def tier_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("query_id", "chunk_id", F.col("tiers")["lexical"].alias("lexical"), F.col("tiers")["vector"].alias("vector"), F.size("tiers").cast("bigint").alias("tiers"))
 
 
+_RELEVANT = r"""iw AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 7), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) >= 8)),
+dw AS (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE len(w) >= 8)),
+lab AS (SELECT DISTINCT item_id AS query_id, doc_id AS key FROM iw JOIN dw USING (g))"""
+
+
 @query(f"""WITH {_LEXICAL}, {_VECTOR}, {_FUSED},
-lab AS (SELECT DISTINCT item_id AS query_id, doc_id AS key FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))),
+{_RELEVANT},
 firsts AS (SELECT lab.query_id, lab.key, min(rank) AS rank FROM lab LEFT JOIN best ON best.query_id = lab.query_id AND best.chunk_id = lab.key GROUP BY ALL),
 dcg AS (SELECT query_id, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT DISTINCT query_id, rank FROM firsts WHERE rank IS NOT NULL) GROUP BY ALL),
 n AS (SELECT query_id, least(count(*), 10) AS n FROM lab GROUP BY ALL)
 SELECT query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN dcg USING (query_id)""")
 def search_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NDCG@10 of the fused search; a document is relevant if it holds an item's first 60 characters."""
+    """NDCG@10 of the fused search; a document is relevant if it holds eight words of an item in a row."""
     return evaluate.ndcg(_hits(spark, sf_dir), _relevant(spark, sf_dir)).withColumn("ndcg", F.round("ndcg", 6))
 
 
@@ -166,13 +176,22 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_search(spark, sf_dir).select("query_id", "rank", F.col("chunk_id").alias("key"))
 
 
+def _word_windows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, h): a hash of every run of eight words of `text`."""
+    word = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    first = F.when(F.size("w") >= 8, F.sequence(F.lit(1), F.size("w") - 7)).otherwise(F.array().cast("array<int>"))
+    return rows.select(key, word.alias("w")).select(key, "w", F.explode(first).alias("i")).select(key, F.xxhash64(F.array_join(F.slice("w", F.col("i"), 8), " ")).alias("h"))
+
+
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = px.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    return px.table(spark, sf_dir, "documents").join(item, F.col("text").contains(F.col("start"))).select("query_id", F.col("doc_id").alias("key"))
+    """A document is relevant for an item if any eight consecutive words of the item occur in it."""
+    item = _word_windows(px.table(spark, sf_dir, "benchmark"), "item_id").distinct()
+    found = _word_windows(px.table(spark, sf_dir, "documents"), "doc_id").join(item, "h")
+    return found.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key")).distinct()
 
 
 @query(f"""WITH {_LEXICAL}, {_VECTOR}, {_FUSED},
-lab AS (SELECT DISTINCT item_id AS query_id, doc_id AS key FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))),
+{_RELEVANT},
 m AS (SELECT lab.query_id, min(rank) AS rank FROM lab LEFT JOIN best ON best.query_id = lab.query_id AND best.chunk_id = lab.key GROUP BY ALL)
 SELECT round(avg(CASE WHEN rank <= 1 THEN 1e0 ELSE 0e0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1e0 ELSE 0e0 END), 6) AS recall_3 FROM m""")
 def search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,8 +268,7 @@ def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- classification and text -----------------------------------------------------------------
 
-_LANGS = {".py": "python", ".md": "markdown", ".swift": "swift", ".csv": "csv", ".ts": "typescript", ".toml": "toml", ".go": "go", ".java": "java", ".c": "c", ".rs": "rust"}
-_LANG_SQL = "CASE WHEN name = 'Makefile' THEN 'make' WHEN name = 'go.mod' THEN 'gomod' " + " ".join(f"WHEN ext = '{e}' THEN '{v}'" for e, v in _LANGS.items()) + " END"
+_LANG_SQL = "CASE " + " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in LANGUAGES.items() if k.startswith(".")) + " END"
 _CLASSES = rf"""{px.FILES}, named AS (
   SELECT *, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '^\.+', ''), '(\.[^.]+)$', 1) AS ext FROM files),
 langs AS (SELECT *, {_LANG_SQL} AS lang,
@@ -332,13 +350,13 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_WINDOWS}, {px.SYMBOLS},
-cov AS (SELECT DISTINCT file_id, unnest(range(start_line, end_line + 1)) AS line FROM symbols WHERE tag = 'def' AND symbol_id % 3 = 0),
+cov AS (SELECT DISTINCT file_id, unnest(range(start_line, end_line + 1)) AS line FROM symbols WHERE tag = 'def'),
 w AS (SELECT file_id, start_line, end_line, unnest(range(start_line, end_line + 1)) AS line FROM win),
 s AS (SELECT w.file_id, start_line, end_line, count(*) AS n, count(cov.line) AS c FROM w LEFT JOIN cov ON cov.file_id = w.file_id AND cov.line = w.line GROUP BY ALL)
 SELECT file_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM s WHERE (n - c) * 2 >= n""")
 def hybrid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows at least half outside the definitions (every third definition by id)."""
-    defs = px.symbols(spark, sf_dir).where("tag = 'def' and symbol_id % 3 = 0")
+    """Windows at least half outside the definitions."""
+    defs = px.symbols(spark, sf_dir).where("tag = 'def'")
     return ch.uncovered(ch.line_windows(px.files(spark, sf_dir)), defs).select("file_id", "start_line", "end_line")
 
 
