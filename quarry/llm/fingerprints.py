@@ -77,24 +77,38 @@ def merge_parts(df: DataFrame, by: list[str], sketch: str = "sketch", keep: int
 def with_next(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, Window]:
     """Rows laid out so that a lead over the returned window sees the next document by descending id.
 
-    Ids are cut into runs by value; each run also gets a copy of the row that follows it
-    (`_guest`), so that one shuffle by run serves every lead.  After the last row comes the first.
-    Rows of one id are ordered by text, null ids come last.
+    Ids are cut into runs at their quantiles, so that hashed or skewed ids fill all runs alike; each
+    run also gets a copy of the row that follows it (`_guest`), so that one shuffle by run serves
+    every lead.  After the last row comes the first.  Rows of one id are ordered by text and stay in
+    one run; null ids come last.
     """
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
+    n = docs.count()
     runs = max(1, min(MOST_RUNS, n // RUN_ROWS))
-    width = max(1, -(-(hi - lo + 2) // runs))
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(lo - 1))
-    rows = docs.select(*columns, key.alias("_id")).withColumn("_run", F.expr(f"(_id - ({lo - 1})) div {width}"))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("_id"))
+    numbers = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  # one literal, however long
+    cuts = [k / runs for k in range(1, runs)]
+    # Where the cuts lie does not matter for the result: approximate quantiles, MOST_RUNS numbers at most.
+    edges = ids.agg(F.percentile_approx("_id", numbers(cuts, "double"), 10 * runs).alias("e")).first().e if cuts else None
+    edges = sorted(set(edges or []))
+    # Runs from 1 by ascending id; 0 for null ids, which come last by descending id.
+    bounds = numbers(edges, "bigint") if edges else F.array().cast("array<bigint>")
+    rows = docs.select(*columns, F.col("doc_id").cast("bigint").alias("_id")).withColumn("_run", _place(bounds, len(edges)))
     # At most MOST_RUNS + 1 rows: the first id of every run and the run before it.
     tops = rows.groupBy("_run").agg(F.max("_id").alias("_top"))
     tops = tops.select("_run", "_top", F.coalesce(F.lead("_run").over(Window.orderBy("_run")), F.min("_run").over(Window.partitionBy())).alias("_up"))
     own = F.struct(F.col("_run").alias("run"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("_up").alias("run"), F.lit(True).alias("guest"))
-    rows = rows.join(F.broadcast(tops), "_run").withColumn("_at", F.explode(F.when(F.col("_id") == F.col("_top"), F.array(own, guest)).otherwise(F.array(own))))
+    rows = rows.join(F.broadcast(tops), "_run").withColumn("_at", F.explode(F.when(F.col("_id").eqNullSafe(F.col("_top")), F.array(own, guest)).otherwise(F.array(own))))
     rows = rows.select(*columns, "_id", F.col("_at.run").alias("_run"), F.col("_at.guest").alias("_guest"))
-    return rows, Window.partitionBy("_run").orderBy("_guest", F.desc("_id"), "text")
+    return rows, Window.partitionBy("_run").orderBy("_guest", F.desc_nulls_last("_id"), "text")
+
+
+def _place(edges: Column, n: int) -> Column:
+    """1 + the number of edges below `_id`, 0 for a null one, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
+    further = lambda at, step: (at + step <= n) & (F.get(edges, at + step - 1) < F.col("_id"))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+    return F.when(F.col("_id").isNull(), 0).otherwise(below + 1)
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, keep: int = KEEP) -> DataFrame:

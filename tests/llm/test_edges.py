@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, for every operator."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,18 @@ def test_fingerprints(docs, none):
     assert rows(fingerprints.digest(none)) == []
 
 
+def test_fingerprints_of_extreme_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN_ROWS", 8)
+    ids = [-(2**63), 2**63 - 1, 2**61, None, *range(100)]
+    data = [(i, f"text number {k} with some more words {k * 7}") for k, i in enumerate(ids)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.digest(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()}
+    order = sorted((x for x in data if x[0] is not None), reverse=True) + [(None, data[3][1])]
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]
+        assert got[i] == hashlib.sha256(edited.encode()).hexdigest(), i
+
+
 def test_bpe(docs, none):
     got = bpe.digest(docs, tokenizer_file()).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (2, 3)} == {0}
