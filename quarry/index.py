@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import time
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,9 @@ from quarry.settings import Settings
 from quarry.sources.encoders import encoded, prefixes
 from quarry.sources.tree import tree, with_text
 
-TABLES = ("file", "symbol", "chunk", "vector")
+TABLES = ("file", "symbol", "chunk", "vector", "posting", "length")
+#: Texts whose vectors are kept with the first ones, to see later whether the encoder still makes the same.
+CANARY = ("The harbour bridge opens twice a day for tall ships.", "for row in rows:\n    total += row.amount", "how long does a parcel take to arrive")
 #: Settings that shape chunks: a change of any rebuilds the index.
 SHAPING = ("coverage", "window_chars", "lexical_mode", "lexical_cap_chars", "lexical_enrich", "split_identifiers", "distill_docs", "max_chunk_lines", "embed_model", "embed_doc_prefix", "index_excluded", "doc_languages", "config_languages", "data_languages", "test_markers")
 
@@ -49,6 +52,17 @@ class Index:
         s = self.settings
         return encoded(items, "text", s.embed_backend, s.embed_endpoint, s.embed_model, s.embed_api_key)
 
+    def _canary(self) -> list[list[float]]:
+        items = self.spark.createDataFrame(list(enumerate(CANARY)), "i int, text string")
+        return [list(map(float, r.vec)) for r in sorted(self._encoded(items).collect(), key=lambda r: r.i)]
+
+    def _drift(self) -> str:
+        """How the encoder's vectors of the fixed texts stand to the stored ones, with a warning if they moved."""
+        state = vectors.drift(self.meta()["canary"], self._canary())
+        if state != "same":
+            warnings.warn(f"the encoder's vectors moved from the stored ones: {'the vector tier is left out, index again' if state == 'stale' else 'index again soon'}", stacklevel=3)
+        return state
+
     # --- snapshots ---
 
     def meta(self) -> dict:
@@ -118,14 +132,18 @@ class Index:
         stored = self.spark.read.parquet(str(out / "chunk"))
         have = known["vector"].join(stored.select("chunk_id"), "chunk_id", "left_semi") if old else None
         need = stored.join(have.select("chunk_id"), "chunk_id", "left_anti") if old else stored
-        made = self._encoded(need.select("chunk_id", F.concat(F.lit(self.prefixes[1]), "text").alias("text"))).select("chunk_id", "vec")
+        body = F.col("text")
+        if s.distill_docs:
+            body = F.when(F.col("lang").isin(list(s.doc_languages)), ch.embed_text(F.col("path"), body)).otherwise(body)
+        made = self._encoded(need.select("chunk_id", F.concat(F.lit(self.prefixes[1]), body).alias("text"))).select("chunk_id", "vec")
         (have.unionByName(made) if old else made).write.parquet(str(out / "vector"))
+        self._keywords(stored, known, out)
         now, before = files.select("path"), known["file"].select("path") if old else files.select("path").limit(0)
         both = now.join(before.withColumn("old", F.lit(1)), "path", "left").agg(F.count("*").alias("n"), F.count("old").alias("changed")).first()
         lost = before.join(gone.select("path"), "path", "left_semi").join(now, "path", "left_anti").count() if old else 0
         for part in ("walked", "fresh", "states"):
             shutil.rmtree(out / part, ignore_errors=True)
-        self._swap(version, {"identity": identity(s), "scanned": time.time()})
+        self._swap(version, {"identity": identity(s), "scanned": time.time(), "canary": old.get("canary") or (self._canary() if s.embed_backend != "none" else [])})
         for p in self.home.glob("v*"):  # readers of the version before keep theirs
             if p.name not in (version, old.get("version")):
                 shutil.rmtree(p, ignore_errors=True)
@@ -145,6 +163,20 @@ class Index:
         both = ch.with_hash(both).withColumn("keyword_text", keyword)
         return both.withColumn("chunk_id", F.xxhash64("path", "start_line", "end_line", "symbol_id", "content_hash"))
 
+    def _keywords(self, stored: DataFrame, known: dict, out: Path) -> None:
+        """Postings, lengths and statistics: those of chunks that stay are kept, only new chunks are read.
+
+        Postings lie in the order of their terms, a frequent one's over several parts.
+        """
+        kept = [known[t].join(stored.select("chunk_id"), "chunk_id", "left_semi") for t in ("posting", "length")] if known else None
+        need = stored.join(known["length"].select("chunk_id"), "chunk_id", "left_anti") if known else stored
+        posting, length = lexical.postings(need, "keyword_text"), lexical.lengths(need, "keyword_text")
+        if kept:
+            posting, length = kept[0].unionByName(posting), kept[1].unionByName(length)
+        posting.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(str(out / "posting"))
+        length.write.parquet(str(out / "length"))
+        lexical.statistics(self.spark.read.parquet(str(out / "length"))).write.parquet(str(out / "statistics"))
+
     def fresh(self) -> None:
         """A refresh before a read, unless the last scan is recent or refreshes are manual."""
         m = self.meta()
@@ -191,10 +223,11 @@ class Index:
         q = queries.withColumn("is_symbol", text.is_symbol_query(F.col("query"))).withColumn("is_prose", text.is_prose(F.col("query"), s.prose_min_words))
         ids = held.select("chunk_id")
         exact = symbols.exact(q, self.table("symbol").drop("path"), chunk).join(ids, "chunk_id", "left_semi").withColumn("score", F.lit(1.0))
-        words = lexical.bm25(q, chunk.select("chunk_id", F.col("keyword_text").alias("text"))).join(ids, "chunk_id", "left_semi")
-        near = vectors.nearest(self._encoded(q.withColumn("text", F.concat(F.lit(self.prefixes[0]), "query"))), self.table("vector").join(ids, "chunk_id", "left_semi"), s.candidate_depth)
+        words = lexical.bm25(q, index=lexical.Keywords(*(self.table(t) for t in ("posting", "length", "statistics")))).join(ids, "chunk_id", "left_semi")
+        dense = s.embed_backend != "none" and self._drift() != "stale"
+        near = dense and vectors.nearest(self._encoded(q.withColumn("text", F.concat(F.lit(self.prefixes[0]), "query"))), self.table("vector").join(ids, "chunk_id", "left_semi"), s.candidate_depth)
         tiers = fusion.ranked(exact, "exact").unionByName(fusion.ranked(lexical.top(words, s.candidate_depth), "lexical"))
-        if s.embed_backend != "none":
+        if dense:
             tiers = tiers.unionByName(fusion.ranked(near, "vector"))
         fused = fusion.first_tier(tiers) if s.ranker == "none" else fusion.reciprocal_rank(tiers, fusion.weights(q, s.adaptive_alpha, s.alpha_prose, s.alpha_symbol))
         c = fusion.min_max(fused).join(held.select("chunk_id", "path", "text"), "chunk_id").select("query_id", "chunk_id", "path", "text", "score")

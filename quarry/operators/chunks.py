@@ -70,10 +70,10 @@ def lexical_text(path: Column, body: Column, mode: str = "full", cap: int = 2000
     return split_inline(text) if split == "inline" else split_appended(text) if split == "append" else text
 
 
-def embed_text(path: Column, kind: Column, comments: Column, body: Column) -> Column:
-    """Distilled text of a documentation chunk: path, kind, comments and 25 distinct identifiers."""
+def embed_text(path: Column, body: Column) -> Column:
+    """Distilled text of a documentation chunk: path words and 25 distinct identifiers."""
     names = F.array_distinct(F.filter(F.transform(matches(body, r"[A-Za-z_][A-Za-z0-9_]*"), humanise), lambda w: w != ""))
-    parts = (humanise(path), kind, comments, F.array_join(F.slice(names, 1, 25), " "))
+    parts = (humanise(path), F.array_join(F.slice(names, 1, 25), " "))
     return F.concat_ws(" :: ", *[F.when(p != "", p) for p in parts])
 
 

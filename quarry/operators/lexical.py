@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +25,27 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def lengths(posting: DataFrame) -> DataFrame:
-    return posting.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+def lengths(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(chunk_id, dl): the words of each chunk, 0 for one without."""
+    return chunks.select("chunk_id", F.size(tokens(F.col(text))).cast("bigint").alias("dl"))
+
+
+def statistics(length: DataFrame) -> DataFrame:
+    """One row (n_docs, words) of the whole corpus."""
+    return length.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+
+
+class Keywords(NamedTuple):
+    """A prepared keyword index: searches over it read no text."""
+
+    posting: DataFrame
+    length: DataFrame
+    whole: DataFrame
+
+
+def prepared(chunks: DataFrame, text: str = "text") -> Keywords:
+    length = lengths(chunks, text)
+    return Keywords(postings(chunks, text), length, statistics(length))
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -41,31 +62,32 @@ def _met(spots: DataFrame) -> DataFrame:
     return runs.groupBy("phrase", "chunk_id", "dl").agg(F.sum(tf).alias("tf")).where("tf > 0")
 
 
-def phrase_hits(chunks: DataFrame, phrase: DataFrame, posting: DataFrame | None = None) -> DataFrame:
+def phrase_hits(chunks: DataFrame | None, phrase: DataFrame, index: Keywords | None = None) -> DataFrame:
     """(phrase, chunk_id, dl, tf): how often the phrase's words follow each other in a chunk.
 
     Without a prepared index the texts are read once and only words that some phrase holds leave
     the scan; the number of words travels along, so lengths need no join.
     """
     parts = phrase.select("phrase", "words").distinct().select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
-    if posting is not None:
-        spots = posting.join(parts, "term").select("phrase", "n", "at", "chunk_id", F.explode("positions").alias("pos"))
-        return _met(spots.join(lengths(posting), "chunk_id"))
+    if index is not None:
+        spots = index.posting.join(parts, "term").select("phrase", "n", "at", "chunk_id", F.explode("positions").alias("pos"))
+        return _met(spots.join(index.length, "chunk_id"))
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("_w")).select("chunk_id", F.size("_w").alias("dl"), F.posexplode("_w").alias("pos", "term"))
     return _met(words.join(parts, "term"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, posting: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | None = None, index: Keywords | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that holds a phrase of the query.
 
     A phrase counts as often as the query holds it; a phrase in over half of the corpus has weight
-    1e-6.  Filter the result, not the corpus: the statistics are the whole corpus's.
+    1e-6.  Filter the result, not the corpus: the statistics are the whole corpus's.  Either `chunks`
+    are read or, if given, a prepared index.
     """
     phrase = phrases(queries)
-    hits = phrase_hits(chunks, phrase, posting)
+    hits = phrase_hits(chunks, phrase, index)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    size = chunks.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0)).alias("t"))
-    whole = F.broadcast(size.select("n_docs", (F.col("t") / F.greatest("n_docs", F.lit(1))).alias("avgdl")))  # one row
+    size = index.whole if index is not None else statistics(lengths(chunks))
+    whole = F.broadcast(size.select("n_docs", (F.col("words") / F.greatest("n_docs", F.lit(1))).alias("avgdl")))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = phrase.select("query_id", "phrase", "qtf").join(df, "phrase").join(whole, F.lit(True)).withColumn("idf", F.when(idf > 0, idf).otherwise(F.lit(1e-6)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -97,6 +97,14 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).where("rank <= 10").select("query_id", "chunk_id", "rank", "score")
 
 
+@query(SQL["bm25_search"])
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_search over a prepared index of postings, lengths and statistics."""
+    found = lexical.bm25(px.queries(spark, sf_dir), index=lexical.prepared(px.chunks(spark, sf_dir)))
+    best = lexical.top(found.withColumn("score", F.round("score", 6)), 10)
+    return best.select("query_id", "chunk_id", "rank", "score")
+
+
 @query(r"""WITH tok AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) AS term FROM documents)
 SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM tok GROUP BY term""")
 def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:

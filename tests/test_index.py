@@ -160,3 +160,37 @@ def test_every_language_key(spark):
     paths = [(f"d/x{k}" if k.startswith(".") else f"d/{k}", v) for k, v in LANGUAGES.items()]
     got = {r.path: r.lang for r in classify.with_language(spark.createDataFrame([(p,) for p, _ in paths], "path string")).collect()}
     assert got == dict(paths)
+
+
+def test_stored_keyword_index(spark, root):
+    from quarry.operators import lexical
+
+    index = Index(spark, str(root), Settings(refresh_mode="manual"))
+    index.refresh()
+    (root / "pkg/retry.py").write_text(CODE.replace("ceiling", "threshold"))
+    (root / "README.md").unlink()
+    index.refresh()
+    want = lexical.prepared(index.table("chunk"), "keyword_text")
+    for name, fresh in zip(("posting", "length", "statistics"), want):
+        rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert rows(index.table(name)) == rows(fresh), name
+    assert index.table("posting").where("term = 'ceiling'").count() == 0 and index.table("posting").where("term = 'threshold'").count() > 0
+
+
+def test_canary(spark, root):
+    index = Index(spark, str(root), Settings(refresh_mode="manual"))
+    index.refresh()
+    q = spark.createDataFrame([(0, "seconds before the next attempt")], "query_id int, query string")
+    assert "vector" in index.search(q, 1).first().tiers
+    meta = index.meta()
+    version = meta.pop("version")
+    index._swap(version, meta | {"canary": [[-x for x in v] for v in meta["canary"]]})
+    with pytest.warns(UserWarning, match="left out"):
+        assert "vector" not in index.search(q, 1).first().tiers
+
+
+def test_distilled_documentation(spark, root):
+    plain, short = (Index(spark, str(root), Settings(refresh_mode="manual", distill_docs=d, data_dir=str(root / f".quarry-{d}"))) for d in (False, True))
+    plain.refresh(), short.refresh()
+    vec = lambda i, path: {tuple(r.vec) for r in i.table("vector").join(i.table("chunk").where(f"path = '{path}'"), "chunk_id").collect()}
+    assert vec(plain, "README.md") != vec(short, "README.md") and vec(plain, "pkg/retry.py") == vec(short, "pkg/retry.py")

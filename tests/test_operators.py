@@ -87,8 +87,8 @@ def test_saturation_is_the_greedy_loop(spark):
 def test_bm25_phrases(spark):
     docs = spark.createDataFrame([(1, "go fast go_fast"), (2, "fast go"), (3, "fast"), (4, "x"), (5, None)], "chunk_id int, text string")
     q = spark.createDataFrame([(0, "go_fast"), (1, "fast"), (2, "fast fast"), (3, "how does")], "query_id int, query string")
-    for posting in (None, lexical.postings(docs)):
-        got = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25(q, docs, posting).collect()}
+    for index in (None, lexical.prepared(docs)):
+        got = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25(q, docs if index is None else None, index).collect()}
         assert (0, 1) in got and (0, 3) in got  # the compound as a phrase, its part as a word
         assert {c for i, c in got if i == 1} == {1, 2, 3}
         assert got[2, 3] == pytest.approx(2 * got[1, 3])
