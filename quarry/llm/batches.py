@@ -9,10 +9,11 @@ of all documents hold is one entry per batch, however often the batch holds it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +68,21 @@ def answered(asked: DataFrame, parts: int, answer: Callable[[list[bytes], list[i
         return pa.table([t["bucket"].combine_chunks(), t["batch"].combine_chunks(), pa.array(answer(t["cell"].to_pylist(), batches), pa.binary())], schema=ASK)
 
     return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, ASK_DDL)
+
+
+def in_runs(batches: Iterator[pa.RecordBatch], batch_bytes: int = BATCH_BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of runs of a task's rows, about `batch_bytes` of Arrow data each.
+
+    Numbers are the task's partition and a count, so a task that is run again gives the same; they
+    name the runs for good only once what was made of them is written, since a later query may
+    divide the input otherwise.
+    """
+    number, have, size = TaskContext.get().partitionId() << 33, [], 0
+    for b in batches:
+        have.append(b)
+        size += b.nbytes
+        if size >= batch_bytes:
+            yield number, pa.Table.from_batches(have)
+            number, have, size = number + 1, [], 0
+    if have:
+        yield number, pa.Table.from_batches(have)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, decontaminate, fingerprints, jaccard, langid, shards, substrings, suffixtree, toxicity, urlfilter
+from quarry.llm import alignment, blocknames, bpe, decontaminate, fingerprints, jaccard, langid, repair, shards, substrings, suffixtree, toxicity, urlfilter
 from quarry.llm.arrowtext import documents
 
 
@@ -54,10 +54,30 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.digest(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urlfilter.SQL, "op4_decontamination": decontaminate.SQL, "op5_sharding": shards.SQL, "op9_substring_dedup": substrings.SQL, "op10_jaccard_join": jaccard.SQL}
+    return {
+        "op3_url_filters": urlfilter.SQL,
+        "op4_decontamination": decontaminate.SQL,
+        "op5_sharding": shards.SQL,
+        "op9_substring_dedup": substrings.SQL,
+        "op10_jaccard_join": jaccard.SQL,
+        "op12_exact_dedup": blocknames.SQL,
+        "op13_conversation_repair": repair.SQL,
+    }

@@ -20,11 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
