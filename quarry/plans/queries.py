@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from quarry.functions import classify, text
 from quarry.functions.languages import LANGUAGES
 from quarry.operators import chunks as ch
-from quarry.operators import evaluate, fusion, lexical, refresh, rerank, symbols, vectors
+from quarry.operators import evaluate, fusion, lexical, postings, refresh, rerank, symbols, vectors
 from quarry.plans import proxies as px
 
 QUERIES: dict = {}
@@ -105,6 +106,13 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "chunk_id", "rank", "score")
 
 
+@query(SQL["bm25_search"])
+def pruned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_search over a stored index of which only the buckets and groups needed are read."""
+    index = postings.build(px.chunks(spark, sf_dir), f"{_scratch(spark)}/postings-{uuid.uuid4().hex}")
+    return postings.search(px.queries(spark, sf_dir), index, 10, digits=6).select("query_id", "chunk_id", "rank", "score")
+
+
 @query(r"""WITH tok AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')) AS term FROM documents)
 SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM tok GROUP BY term""")
 def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,7 +565,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The shared checkpoint folder, or a temporary one where none is set."""
+    """A folder under the shared checkpoint folder; in local mode (tests), a temporary one where none is set."""
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarry-')}") + "/streams"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or f"file://{tempfile.mkdtemp(prefix='quarry-')}") + "/queries"
