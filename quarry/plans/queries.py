@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry import windows
 from quarry.functions import classify, text
 from quarry.functions.languages import LANGUAGES
 from quarry.operators import chunks as ch
@@ -365,6 +366,42 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.line_windows(px.files(spark, sf_dir)).select("file_id", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("body"))
 
 
+_SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ENDS = r"\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}"
+
+
+@query(rf"""WITH RECURSIVE ln AS (
+  SELECT doc_id, i, t, length(t) AS n, regexp_full_match(t, '{_SPACE}*') AS blank, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p
+  FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+') AS ls FROM documents))),
+step AS (
+  SELECT l.doc_id, 1::BIGINT AS i, 0::BIGINT AS start, false AS cut, CASE WHEN n > 750 THEN p + n ELSE 0 END AS after, blank FROM ln l WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, s.after, l.p > s.after AND ((s.blank AND NOT l.blank AND l.p - s.after >= 375) OR l.p - s.after + l.n > 750),
+         CASE WHEN l.n > 750 THEN l.p + l.n WHEN l.p > s.after AND ((s.blank AND NOT l.blank AND l.p - s.after >= 375) OR l.p - s.after + l.n > 750) THEN l.p ELSE s.after END, l.blank
+  FROM step s JOIN ln l ON l.doc_id = s.doc_id AND l.i = s.i + 1),
+span AS (
+  SELECT doc_id, start AS a, p AS b FROM step JOIN ln USING (doc_id, i) WHERE cut
+  UNION ALL
+  SELECT doc_id, p + k * 750, least(p + (k + 1) * 750, p + n) FROM (SELECT *, unnest(range(0, (n + 749) // 750)) AS k FROM ln WHERE n > 750)
+  UNION ALL
+  SELECT s.doc_id, s.after, p + n FROM step s JOIN ln l USING (doc_id, i) WHERE p + n > s.after AND i = (SELECT max(i) FROM ln m WHERE m.doc_id = s.doc_id)),
+body AS (SELECT doc_id, a, b, text, substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS t FROM span JOIN documents USING (doc_id))
+SELECT doc_id AS file_id, CAST(1 + a - length(replace(substr(text, 1, CAST(a AS BIGINT)), chr(10), '')) AS INTEGER) AS start_line,
+       CAST(b - length(replace(substr(text, 1, CAST(b - 1 AS BIGINT)), chr(10), '')) AS INTEGER) AS end_line, md5(t) AS body
+FROM body WHERE length(regexp_replace(t, '^{_SPACE}+|{_SPACE}+$', '', 'g')) >= 60""")
+def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut by blank lines, at any of ten line ends."""
+    files = px.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("").alias("path"), F.lit(None).cast("string").alias("lang"), "text")
+    return windows.windows(files).select("file_id", "start_line", "end_line", F.md5("text").alias("body"))
+
+
+@query()
+def tree_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut along the tree of their elements."""
+    files = px.table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("text"))
+    return windows.windows(files).select("file_id", "start_line", "end_line", F.md5("text").alias("body"))
+
+
 @query(f"""WITH RECURSIVE {_WINDOWS}, {px.SYMBOLS},
 cov AS (SELECT DISTINCT file_id, unnest(range(start_line, end_line + 1)) AS line FROM symbols WHERE tag = 'def'),
 w AS (SELECT file_id, start_line, end_line, unnest(range(start_line, end_line + 1)) AS line FROM win),
