@@ -3,7 +3,12 @@
 Both encodings of a text spell the same bytes.  np.repeat of token places over the bytes of each gives
 two owner arrays: the A token and the B token of every byte.  Where either owner changes a new link
 begins, a pair of tokens whose byte ranges overlap; where both change at once the text is cut into
-groups.  All texts of a run are aligned in one expression, since a text's end changes both owners.
+groups.  Many texts are aligned in one expression, since a text's end changes both owners.
+
+Neither tokenizer joins a space to what stands before it: A's pattern takes a space only as the first
+character of a piece (but for runs of white space), and no piece of B has one after another character.
+So both cut before a single space between two other characters, and a text is a row of parts that are
+encoded and aligned alike wherever they stand.  A run of texts aligns each distinct part once.
 
 How often an id pair is linked in the whole corpus is counted by run: a run's distinct pairs and their
 counts are summed by pair, and the totals of the pairs that it asked for go back to the run.  So a
@@ -15,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,10 +41,27 @@ RUN_BYTES = 8 << 20
 #: Bytes of text that are encoded and aligned at once; one longer text is handled whole.
 AT_ONCE = 1 << 19
 
-ROWS = "run bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, pairs array<bigint>, counts array<bigint>"
+#: `parts` are places among the run's parts; the other three stand in a run's first row alone: its
+#: distinct pairs, their counts, and (part, place among the pairs) of every link of a part.
+ROWS = "run bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, parts binary, pairs array<bigint>, counts array<bigint>, linked binary"
 SPANS = "doc_id bigint, groups array<struct<first:bigint,last:bigint,a:array<int>,b:array<int>>>, links array<struct<a:int,b:int>>"
 
 
+#: A space between two characters that are no white space (Python's is wider than either tokenizer's).
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s\s|\A\s|\s\Z")
+
+
+def parts_of(text: str) -> list[str]:
+    """Parts that, each after a space, spell space and text; both tokenizers cut between them.
+
+    B writes U+2581 for a space, so a text that has one is not cut.
+    """
+    if "▁" in text:
+        return [text]
+    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+
+
 class Vocabulary:
     """The bytes of each token, back to back: those of id i are `data[start[i]:start[i] + size[i]]`."""
 
@@ -46,6 +70,12 @@ class Vocabulary:
         self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.start = np.cumsum(self.size) - self.size
 
+    def lengths(self, ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Bytes of each text, of which each has so many of the ids."""
+        at = np.concatenate([[0], np.cumsum(self.size[ids])])
+        ends = np.cumsum(many)
+        return at[ends] - at[ends - many]
+
     def spelt(self, ids: np.ndarray) -> np.ndarray:
         size = self.size[ids]
         at = np.cumsum(size) - size
@@ -72,6 +102,8 @@ class Pair:
         self.of_a = Vocabulary([special[i] if i in special else spell(names[i]) for i in range(max([*names, *special]) + 1)])
         piece = lambda i: bytes([int(self.b.IdToPiece(i)[3:-1], 16)]) if self.b.IsByte(i) else self.b.IdToPiece(i).replace("▁", " ").encode()
         self.of_b = Vocabulary([piece(i) for i in range(self.b.GetPieceSize())])
+        if any("▁" in self.b.IdToPiece(i).lstrip("▁") for i in range(self.b.GetPieceSize())):
+            raise ValueError("a piece of B goes on over a space: texts cannot be cut there")
         self.shown_a = [f"{i}{end}" for i in range(len(self.of_a.size)) for end in (",", "|")]
         self.shown_b = [f"{i}{end}" for i in range(len(self.of_b.size)) for end in (",", ";")]
         self.shown = np.array(self.shown_a + self.shown_b, object)
@@ -80,25 +112,29 @@ class Pair:
         """Ids of A and B; a text whose bytes they do not both spell has none."""
         a = [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
-        wide = lambda ids: np.fromiter((x for t in ids for x in t), np.int64)
-        spelt_a, spelt_b = self.of_a.spelt(wide(a)), self.of_b.spelt(wide(b))
-        i = j = 0
-        for k, t in enumerate(texts):
-            data = f" {t}".encode("utf-8", "replace")
-            to_i, to_j = i + int(self.of_a.size[a[k]].sum()), j + int(self.of_b.size[b[k]].sum())
-            if not t or spelt_a[i:to_i].tobytes() != data or spelt_b[j:to_j].tobytes() != data:
-                a[k], b[k] = [], []
-            i, j = to_i, to_j
-        return a, b
+        data = [f" {t}".encode("utf-8", "replace") if t else b"" for t in texts]
+        whole, size = np.frombuffer(b"".join(data), np.uint8), np.fromiter(map(len, data), np.int64, len(data))
+        spelt = [(v.spelt(flat), v.lengths(flat, n)) for v, (flat, n) in ((self.of_a, _flat(a)), (self.of_b, _flat(b)))]
+        if all(np.array_equal(n, size) and np.array_equal(x, whole) for x, n in spelt):
+            return a, b
+        for x, n in spelt:  # one text is odd at least: each by itself
+            at = np.concatenate([[0], np.cumsum(n)])
+            for k, own in enumerate(data):
+                if x[at[k] : at[k + 1]].tobytes() != own:
+                    data[k] = None
+        return [[] if x is None else i for x, i in zip(data, a)], [[] if x is None else i for x, i in zip(data, b)]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, ids of each text)."""
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 class Aligned:
     """Texts aligned at once.  Places of tokens, links and groups count over all of them."""
 
     def __init__(self, pair: Pair, texts: list[str]) -> None:
-        a, b = pair.encode(texts)
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        self.a, self.b = (np.fromiter((i for t in x for i in t), np.int64) for x in (a, b))
+        (self.a, self.n_a), (self.b, self.n_b) = map(_flat, pair.encode(texts))
         owner_a = np.repeat(np.arange(len(self.a)), pair.of_a.size[self.a])
         owner_b = np.repeat(np.arange(len(self.b)), pair.of_b.size[self.b])
         new_a, new_b = np.ones(len(owner_a), bool), np.ones(len(owner_b), bool)
@@ -198,49 +234,45 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
 
 
 def _runs(docs: DataFrame, a_file: str, b_file: str, run_bytes: int) -> DataFrame:
-    """ROWS: links are (place in the run's pairs, occurrences) of the text's distinct pairs; the run's
-    pairs and counts stand in its first row alone."""
+    """ROWS of every text."""
     shared = _shared(docs, a_file, b_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _worker(shared)
         ids_b = len(pair.of_b.size)
         for number, t in in_runs(batches, run_bytes):
-            n_a, n_b, n_groups, n_links, digests, codes, owners, base = [], [], [], [], [], [], [], 0
-            for some in _slices(t["text"].to_pylist()):
+            place: dict[str, int] = {}
+            held = [np.array([place.setdefault(p, len(place)) for p in parts_of(x)], np.int64) if x else np.zeros(0, np.int64) for x in t["text"].to_pylist()]
+            sizes, shown, codes, owners, base = [np.zeros((4, 0), np.int64)], [], [], [], 0
+            for some in _slices(list(place)):
                 x = Aligned(pair, some)
-                n_a.append(x.n_a)
-                n_b.append(x.n_b)
-                n_groups.append(np.diff(x.first_group))
-                n_links.append(np.diff(x.first_link))
-                digests += [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in x.shown(pair)]
-                code = x.a[x.link_a] * ids_b + x.b[x.link_b]
-                # A text's distinct pairs, with the number of their links.
-                owner = np.repeat(np.arange(len(some)), n_links[-1]) + base
-                order = np.lexsort((code, owner))
-                code, owner = code[order], owner[order]
-                codes.append(code)
-                owners.append(owner)
+                sizes.append(np.stack([x.n_a, x.n_b, np.diff(x.first_group), np.diff(x.first_link)]))
+                shown += x.shown(pair)
+                codes.append(x.a[x.link_a] * ids_b + x.b[x.link_b])
+                owners.append(np.repeat(np.arange(len(some)), sizes[-1][3]) + base)
                 base += len(some)
+            size = np.concatenate(sizes, axis=1)
+            # A text with a part that does not come back has no tokens at all.
+            held = [h if size[0, h].all() else h[:0] for h in held]
+            often = np.bincount(np.concatenate(held), minlength=base)
             code, owner = np.concatenate([*codes, np.zeros(0, np.int64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
-            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])) if len(code) else np.zeros(0, np.int64)
-            many = np.diff(np.concatenate([first, [len(code)]]))
-            pairs, place = np.unique(code[first], return_inverse=True)
-            counts = np.bincount(place, weights=many, minlength=len(pairs)).astype(np.int64)
-            told = np.column_stack([place, many]).astype("<u4")
-            edge = np.searchsorted(owner[first], np.arange(base + 1))
-            rest = [None] * (base - 1)
+            used = often[owner] > 0
+            code, owner = code[used], owner[used]
+            pairs, at = np.unique(code, return_inverse=True)
+            counts = np.bincount(at, weights=often[owner], minlength=len(pairs)).astype(np.int64)
+            rest = [None] * (len(held) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(base, number)),
+                    pa.array(np.full(len(held), number)),
                     t["doc_id"].combine_chunks(),
-                    *(pa.array(np.concatenate(x)) for x in (n_a, n_b, n_groups, n_links)),
-                    pa.array(digests, pa.string()),
-                    pa.array([told[lo:hi].tobytes() for lo, hi in zip(edge, edge[1:])], pa.binary()),
+                    *(pa.array([int(n[h].sum()) for h in held], pa.int64()) for n in size),
+                    pa.array([hashlib.sha256(";".join([shown[p] for p in h.tolist()]).encode()).hexdigest() if len(h) else "" for h in held], pa.string()),
+                    pa.array([h.astype("<u4").tobytes() for h in held], pa.binary()),
                     pa.array([pairs.tolist(), *rest], pa.list_(pa.int64())),
                     pa.array([counts.tolist(), *rest], pa.list_(pa.int64())),
+                    pa.array([np.stack([owner, at]).astype("<u4").tobytes(), *rest], pa.binary()),
                 ],
-                names=["run", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "pairs", "counts"],
+                names=["run", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "parts", "pairs", "counts", "linked"],
             )
 
     return _columns(docs).mapInArrow(run, ROWS)
@@ -264,11 +296,17 @@ def digest(docs: DataFrame, a_file: str, b_file: str, run_bytes: int = RUN_BYTES
 
     def answer(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         place = told["place"].to_numpy()
-        total, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        total[place], best[place] = told["total"].to_numpy(), told["best"].to_numpy()
-        links = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in t["links"].to_pylist()]
-        sums = [[int((table[x[:, 0]] * x[:, 1]).sum()) for x in links] for table in (best, total)]
-        return pa.table([*(t[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")), *(pa.array(s, pa.int64()) for s in sums)], names=names)
+        value = np.zeros((2, len(place)), np.int64)  # of each pair: whether it is the best, and its count
+        value[:, place] = told["best"].to_numpy(), told["total"].to_numpy()
+        held = [np.frombuffer(x, "<u4") for x in t["parts"].to_pylist()]
+        owner, at = np.frombuffer(next(x for x in t["linked"].to_pylist() if x is not None), "<u4").reshape(2, -1)
+        parts = max((int(h.max()) for h in held if len(h)), default=-1) + 1
+        sums = []
+        for v in value:
+            of_part = np.zeros(parts, np.int64)
+            np.add.at(of_part, owner, v[at])
+            sums.append(pa.array([int(of_part[h].sum()) for h in held], pa.int64()))
+        return pa.table([*(t[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")), *sums], names=names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
     schema = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint"

@@ -65,7 +65,8 @@ def texts():
     rng = random.Random(5)
     odd = ["", None, " ", "  two  spaces ", "a▁b", "tab\tnew\nline", "éß漢字 \U0001f600!", "<|endoftext|> and </s> <s> <unk>", "<0x41>", "\x00\x1c\x85", "‍﻿", "café", "x" * 3000, "İĲﬁ", "12345 3.14 it's we'll"]
     made = [" ".join(rng.choice(["the", "tokenizer", "Donau", "quién", "zzxq", "über", "12", "!?", "Antidisestablishmentarianism"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
-    return odd + made + made[:9]
+    spaced = ["".join(rng.choice(["a", "B1", ".", "é", "漢", " ", " ", "  ", "\n", "\t ", "\xa0", "\x1c", "\x85 ", "\u3000", "'s", "-", "\u2581" * (rng.random() < 0.1)]) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    return odd + made + made[:9] + spaced
 
 
 @pytest.mark.parametrize("run_bytes", [1, 8 << 20])
@@ -76,7 +77,7 @@ def test_digest(spark, texts, run_bytes):
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
     want = sorted((-1 if i is None else i, *x) for (i, *_), x in zip(rows, plain(texts)))
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got.collect()) == want
-    assert sum(x[1] == 0 for x in want) == 3 and sum(x[1] > 0 for x in want) > 60  # null, empty, and one that does not come back
+    assert sum(x[1] == 0 for x in want) > 5 and sum(x[1] > 0 for x in want) > 150  # null, empty, and some that do not come back
 
 
 def test_spans(spark, texts):
