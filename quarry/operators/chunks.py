@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions.text import content_hash, humanise, matches, path_stem, split_appended, split_inline, stripped
 
+#: Lines above a definition that are looked at for comments.
+LOOK_BACK = 6
 WINDOW_BYTES, MOST_BYTES, LEAST_CHARS, MOST_CHARS, MOST_LINES = 750, 20_000, 60, 20_000, 200
 
 
@@ -39,9 +42,19 @@ def bounded(windows: DataFrame) -> DataFrame:
 def definition_chunks(defs: DataFrame, files: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
     """A chunk for each definition: its first `most_lines` lines, if 60 to 20,000 characters."""
     last = F.least(F.col("end_line"), F.col("start_line") + most_lines - 1)
-    text = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    out = defs.withColumn("end_line", last).join(files.select("file_id", "path", "text"), "file_id").withColumn("text", text)
-    return out.where(F.char_length("text").between(LEAST_CHARS, MOST_CHARS)).select("file_id", "path", "symbol_id", "start_line", "end_line", "text")
+    lines = F.split("text", "\n")
+    text = F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    out = defs.withColumn("end_line", last).join(files.select("file_id", "path", "text"), "file_id")
+    out = out.withColumn("comments", leading_comments(lines, F.col("start_line"))).withColumn("text", text)
+    return out.where(F.char_length("text").between(LEAST_CHARS, MOST_CHARS)).select("file_id", "path", "symbol_id", "start_line", "end_line", "text", "comments")
+
+
+def leading_comments(lines: Column, start_line: Column) -> Column:
+    """The comment lines among the six above a definition, without their markers, joined by a space."""
+    first = F.greatest(start_line - LOOK_BACK, F.lit(1))
+    above = F.transform(F.slice(lines, first, start_line - first), stripped)
+    held = F.filter(above, lambda x: x.rlike(r"\A(?:#|//|\*|/\*|;|--)"))
+    return F.array_join(F.transform(held, lambda x: stripped(F.regexp_replace(x, r"\A[/*#; -]+", ""))), " ")
 
 
 def uncovered(windows: DataFrame, defs: DataFrame) -> DataFrame:
@@ -53,9 +66,10 @@ def uncovered(windows: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def claimed_once(chunks: DataFrame) -> DataFrame:
-    """Of chunks that claim one symbol the first in position stays; windows all stay."""
-    first = chunks.where("symbol_id is not null").groupBy("symbol_id").agg(F.min("position").alias("position"))
-    return chunks.where("symbol_id is null").unionByName(chunks.join(first, ["symbol_id", "position"], "left_semi").select(*chunks.columns))
+    """Of chunks that claim one symbol one stays, the first in position, then by its other columns; windows all stay."""
+    nth = F.row_number().over(Window.partitionBy("symbol_id").orderBy("position", *chunks.columns))
+    claimed = chunks.where("symbol_id is not null").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return chunks.where("symbol_id is null").unionByName(claimed)
 
 
 def lexical_text(path: Column, body: Column, mode: str = "full", cap: int = 2000, enrich: bool = False, split: str = "off") -> Column:
@@ -70,11 +84,11 @@ def lexical_text(path: Column, body: Column, mode: str = "full", cap: int = 2000
     return split_inline(text) if split == "inline" else split_appended(text) if split == "append" else text
 
 
-def embed_text(path: Column, body: Column) -> Column:
-    """Distilled text of a documentation chunk: path words and 25 distinct identifiers."""
+def embed_text(path: Column, body: Column, kind: Column | None = None, comments: Column | None = None) -> Column:
+    """Distilled text of a documentation chunk: path words, kind of definition, leading comments, 25 distinct identifiers."""
     names = F.array_distinct(F.filter(F.transform(matches(body, r"[A-Za-z_][A-Za-z0-9_]*"), humanise), lambda w: w != ""))
-    parts = (humanise(path), F.array_join(F.slice(names, 1, 25), " "))
-    return F.concat_ws(" :: ", *[F.when(p != "", p) for p in parts])
+    parts = (humanise(path), kind, comments, F.array_join(F.slice(names, 1, 25), " "))
+    return F.concat_ws(" :: ", *[F.when(p != "", p) for p in parts if p is not None])
 
 
 def with_hash(chunks: DataFrame) -> DataFrame:

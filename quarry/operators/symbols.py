@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +75,53 @@ def enclosed(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return refs.join(hit, "symbol_id", "left")
 
 
+class Around:
+    """The shortest of the spans around each of ascending lines, in one sweep.
+
+    Spans are opened in the order of their first lines.  They wait by length, then by key; one that has
+    ended is dropped when it comes up.
+    """
+
+    def __init__(self) -> None:
+        self.waiting: list[tuple] = []
+
+    def open(self, first: int, last: int, key) -> None:
+        heapq.heappush(self.waiting, (last - first, key, last))
+
+    def at(self, line: int):
+        """The key of the shortest span that holds the line, ties by the least key; None without one."""
+        while self.waiting and self.waiting[0][2] < line:
+            heapq.heappop(self.waiting)
+        return self.waiting[0][1] if self.waiting else None
+
+
 def innermost(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """References with the shortest definition of their file that holds their line (ties: smallest id)."""
-    d = defs.select("file_id", F.col("symbol_id").alias("_id"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    hit = refs.select("symbol_id", "file_id", "start_line").join(d, "file_id").where("start_line between _a and _b")
-    hit = hit.groupBy("symbol_id").agg(F.min(F.struct((F.col("_b") - F.col("_a")).alias("n"), "_id")).alias("m"))
-    return refs.join(hit.select("symbol_id", F.col("m._id").alias("enclosing_id")), "symbol_id", "left")
+    """References with the shortest definition of their file that holds their line (ties: smallest id).
+
+    Both sorts of rows lie in one order of files and lines, and a sweep holds the definitions that are
+    open, so no pair of a reference and a definition is ever made.  Without a line or a file there is none.
+    """
+    line = lambda c: F.col(c).cast("int").alias(c)
+    one = refs.select("file_id", line("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(1).alias("kind"), "symbol_id")
+    both = one.unionByName(defs.select("file_id", line("start_line"), line("end_line"), F.lit(0).alias("kind"), "symbol_id").where("end_line >= start_line"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, around = object(), Around()
+        for b in batches:
+            ids, found = [], []
+            for f, first, last, kind, i in zip(*(c.to_pylist() for c in b.columns)):
+                if f != file:
+                    file, around = f, Around()
+                if not kind:
+                    around.open(first, last, i)
+                elif (key := around.at(first)) is not None:
+                    ids.append(i)
+                    found.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["symbol_id", "enclosing_id"])
+
+    order = ["file_id", "start_line", "kind", "symbol_id"]
+    both = both.where("file_id is not null and start_line is not null").repartition("file_id").sortWithinPartitions(*order)
+    return refs.join(both.mapInArrow(sweep, "symbol_id bigint, enclosing_id bigint"), "symbol_id", "left")
 
 
 def exact(queries: DataFrame, symbol: DataFrame, chunk: DataFrame) -> DataFrame:

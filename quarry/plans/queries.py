@@ -392,7 +392,7 @@ FROM body WHERE length(regexp_replace(t, '^{_SPACE}+|{_SPACE}+$', '', 'g')) >= 6
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut by blank lines, at any of ten line ends."""
     files = px.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("").alias("path"), F.lit(None).cast("string").alias("lang"), "text")
-    return windows.windows(files).select("file_id", "start_line", "end_line", F.md5("text").alias("body"))
+    return windows.windows(files, lines=False).select("file_id", "start_line", "end_line", F.md5("text").alias("body"))
 
 
 @query()

@@ -52,6 +52,8 @@ class Symbol(NamedTuple):
     start_line: int
     end_line: int
     signature: str | None
+    #: What kind of definition it is; of a use, nothing.
+    kind: str
     #: Offsets in the text, to find what lies in what.
     start: int
     end: int
@@ -189,12 +191,12 @@ class _Scan:
         self.bodies: dict[int, str] = {}  # opening braces: of a type, an enum, a function
         self._home: list[int | None] = []
 
-    def define(self, first: int, name: int, last: int, body: int | None = None) -> None:
+    def define(self, kind: str, first: int, name: int, last: int, body: int | None = None) -> None:
         t = self.t
         end = t.start[body] if body is not None else t.end_of(last)
         head = t.text[t.start[first] : end].strip()
         head = head if body is not None else (head.splitlines() or [""])[0].strip()
-        self.defs.append(Symbol(t.value[name], "def", t.line[first], t.line[last], head[:SIGNATURE] or None, t.start[first], t.end_of(last)))
+        self.defs.append(Symbol(t.value[name], "def", t.line[first], t.line[last], head[:SIGNATURE] or None, kind, t.start[first], t.end_of(last)))
         self.names.add(name)
 
     def use(self, i: int) -> None:
@@ -323,7 +325,7 @@ class _Scan:
         body = k if t.at(k) == "{" else None
         if name is not None:
             last = t.pair[k] if body is not None else k - 1
-            self.define(first, name, min(last, len(t.value) - 1), body)
+            self.define("method" if t.at(first + 1) == "(" else "function", first, name, min(last, len(t.value) - 1), body)
 
     def _go_parameters(self, i: int) -> None:
         """Types of a parameter list: of `a, b T` or of bare types."""
@@ -349,7 +351,7 @@ class _Scan:
         if t.at(k) == "[" and t.is_name(k + 1) and t.is_name(k + 2):
             k = t.past(k)
         k += t.at(k) == "="
-        self.define(first, name, last)
+        self.define({"struct": "class", "interface": "interface"}.get(t.at(k), "type"), first, name, last)
         if t.at(k) == "struct" and t.at(k + 1) == "{":
             i, stop = k + 2, t.pair[k + 1]
             while i < stop:
@@ -398,18 +400,19 @@ class _Scan:
                     k = t.past(k)
                 if v == "union" and t.at(k) != "{":
                     continue
+                kind = {"fn": "function", "trait": "interface", "mod": "module"}.get(v, "class")
                 if t.at(k) == "{":
-                    self.define(first, name, t.pair[k], k)
+                    self.define(kind, first, name, t.pair[k], k)
                     if v == "enum":  # a variant with values is no call
                         self.names |= {n for n in range(k + 1, t.pair[k]) if t.value[n - 1] in ("{", ",", "]") and t.at(n + 1) == "(" and self.around(n) == k}
                 elif v == "fn":
                     self.names.add(name)  # a signature: neither a definition nor a use
                 else:
-                    self.define(first, name, self.statement_end(k))
+                    self.define(kind, first, name, self.statement_end(k))
             elif v == "#" and "[" in (t.at(name), t.at(name + 1)):
                 attributes.update(range(i, t.past(name if t.at(name) == "[" else name + 1)))
             elif v == "macro_rules" and t.at(name) == "!" and t.is_name(i + 2):
-                self.define(first, i + 2, min(t.past(i + 3), len(t.value)) - 1)
+                self.define("macro", first, i + 2, min(t.past(i + 3), len(t.value)) - 1)
                 self.names.add(i)
             elif v == "impl":
                 k = t.angles(name)
@@ -455,10 +458,10 @@ class _Scan:
                     k = t.past(k)
                 if t.at(k) == "{":
                     first = i - 1 if t.at(i - 1) == "abstract" or (v == "enum" and t.at(i - 1) == "const") else i
-                    self.define(first, name, t.pair[k], k)
+                    self.define(v if v in ("enum", "module") else "class", first, name, t.pair[k], k)
                     self.bodies[k] = "enum" if v == "enum" else "type"
             elif v == "type" and t.is_name(name) and t.at(t.angles(name + 1)) == "=":
-                self.define(i, name, self.line_or_statement(i))
+                self.define("type", i, name, self.line_or_statement(i))
                 if t.at(k := t.angles(name + 1) + 1) == "{":
                     self.bodies[k] = "type"
             elif v == "function":
@@ -466,7 +469,7 @@ class _Scan:
                 params = t.angles(name + 1)
                 if t.is_name(name) and t.at(params) == "(":
                     first = i - 1 if t.at(i - 1) == "async" else i
-                    self._callable(first, name, params)
+                    self._callable("function", first, name, params)
                 else:
                     self._parameters(t.angles(i + 1))
             elif v == "=>" and t.at(i - 1) == ")":
@@ -495,15 +498,15 @@ class _Scan:
             i = to + 1
         return i
 
-    def _callable(self, first: int, name: int, params: int) -> None:
+    def _callable(self, kind: str, first: int, name: int, params: int) -> None:
         t = self.t
         self._parameters(params)
         k = self._after_type(t.past(params))
         if t.at(k) == "{":
-            self.define(first, name, t.pair[k], k)
+            self.define(kind, first, name, t.pair[k], k)
             self.bodies.setdefault(k, "function")
         else:
-            self.define(first, name, k if t.at(k) == ";" else max(k - 1, params))
+            self.define(kind, first, name, k if t.at(k) == ";" else max(k - 1, params))
 
     def _after_type(self, k: int) -> int:
         """The place after `: type`, where a body, a `;` or the next line begins."""
@@ -541,9 +544,9 @@ class _Scan:
         body = self._after_type(close)
         if home is not None and self.bodies.get(home) == "type":
             if before in ("{", ";", "}", ")") or t.line[first - 1] < t.line[first]:
-                self._callable(first, name, params)
+                self._callable("method", first, name, params)
         elif t.at(body) == "{" and before in ("{", ",") and self.bodies.get(home) not in ("function", "enum") and (t.at(close) == ":" or body == close):
-            self._callable(first, name, params)
+            self._callable("method", first, name, params)
 
     def _annotation(self, colon: int) -> None:
         """The type after a colon, if it is a plain name."""
@@ -584,7 +587,7 @@ class _Scan:
                         continue
                     k = t.angles(k) if t.value[k] == "<" and t.angles(k) > k else k + 1
                 if t.at(k) == "{" and t.at(i - 1) != "@":
-                    self.define(first, name, t.pair[k], k)
+                    self.define(v, first, name, t.pair[k], k)
                 if t.at(k) == "{":
                     self.bodies[k] = "type"
             elif v in ("enum", "record") and t.is_name(name):
@@ -615,7 +618,7 @@ class _Scan:
                 typed = t.named[i - 1] and t.value[i - 1] not in ("public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "default") or t.at(i - 1) in ("]", ">")
                 if typed and t.at(i - 1) not in ("return", "new", "throw", "=", "else"):
                     body = k if t.at(k) == "{" else None
-                    self.define(first, i, t.pair[k] if body is not None else self.statement_end(k), body)
+                    self.define("method", first, i, t.pair[k] if body is not None else self.statement_end(k), body)
                 else:
                     self.names.add(i)  # a constructor
         for i in range(1, len(t.value)):
@@ -660,18 +663,18 @@ class _Scan:
                 if t.at(k) == ")" and t.at(t.pair[k] - 1) == ")":  # a pointer to a function
                     k = t.pair[k] - 2
                 if t.is_name(k):
-                    self.define(i, k, last)
+                    self.define("type", i, k, last)
             if v == "struct" and t.is_name(name) and t.at(name + 1) == "{":
-                self.define(i, name, t.pair[name + 1], name + 1)
+                self.define("class", i, name, t.pair[name + 1], name + 1)
             elif v == "union" and t.is_name(name) and t.is_name(t.past(name + 1) if t.at(name + 1) == "{" else name + 1):
                 body = name + 1 if t.at(name + 1) == "{" else None  # a union counts where something is declared with it
-                self.define(i, name, t.pair[name + 1] if body else name, body)
+                self.define("class", i, name, t.pair[name + 1] if body else name, body)
             elif v == "enum" and t.is_name(name):
                 body = name + 1 if t.at(name + 1) == "{" else None
-                self.define(i, name, t.pair[name + 1] if body else name, body)
+                self.define("type", i, name, t.pair[name + 1] if body else name, body)
             depth += (v == "{") - (v == "}")
             if v == "(" and t.is_name(i - 1) and i - 1 not in self.names and self._declares(i - 1, depth):
-                self.define(i - 1, i - 1, t.pair[i])
+                self.define("function", i - 1, i - 1, t.pair[i])
         self.members(".", "->")
         self.calls()
 
@@ -694,5 +697,5 @@ def scan(text: str, language: str) -> tuple[list[Symbol], list[Symbol]]:
     if s.t.value:
         getattr(s, language)()
     t = s.t
-    uses = [Symbol(name, "ref", t.line[i], t.line[i], None, t.start[i], t.start[i] + len(name)) for i, name in sorted(s.uses.items()) if i not in s.names]
+    uses = [Symbol(name, "ref", t.line[i], t.line[i], None, "", t.start[i], t.start[i] + len(name)) for i, name in sorted(s.uses.items()) if i not in s.names]
     return sorted(s.defs, key=lambda d: (d.start, d.end)), uses

@@ -4,7 +4,7 @@ A tree is nested spans of bytes: statements of Python, items and braces of the l
 `quarry.scanner` reads, sections and paragraphs of markdown, elements of HTML.  Sibling spans are
 grouped up to a target, larger ones are descended into, and neighbours are merged again.  A text whose
 tree cannot be had, or that is very long, is cut by blank lines.  Languages without trees are grouped by
-whole lines, in `operators.chunks`.
+whole lines.
 """
 
 from __future__ import annotations
@@ -256,6 +256,18 @@ def tree_spans(data: bytes, language: str, target: int) -> list[Span] | None:
     return [(a, b) for a, b in out if b > a]
 
 
+def line_spans(data: bytes, target: int) -> list[Span]:
+    """Whole lines up to the one that reaches `target` bytes; a span of over MOST_BYTES is cut."""
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+    out, start = [], 0
+    while start < len(data):
+        k = int(np.searchsorted(ends, start + target))
+        end = int(ends[k]) if k < len(ends) else len(data)
+        out += [(a, min(a + MOST_BYTES, end)) for a in range(start, end, MOST_BYTES)]
+        start = end
+    return out
+
+
 def text_spans(text: str, most: int) -> list[Span]:
     """Spans of characters: whole lines up to `most`, ended sooner where a line follows a blank one and
     half of `most` is reached; a longer line is cut.  Lines end at any of Python's ten line ends."""
@@ -289,9 +301,12 @@ def _rows(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int,
     return [(line(a), line(max(a, _whole(data, b - 1))), body) for a, b, body in spans if len(body.strip()) >= LEAST_CHARS]
 
 
-def windows_of(text: str, language: str | None, target: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of a text's windows: by its tree, else by blank lines."""
+def windows_of(text: str, language: str | None, target: int, lines: bool = True) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of a text's windows: by its tree, by blank lines where it has none, by
+    whole lines (or, without `lines`, by blank lines too) in a language without trees."""
     data = text.encode("utf-8", "replace")
+    if lines and language not in TREES:
+        return _rows(text, [(a, b, data[a:b].decode("utf-8", "ignore")) for a, b in line_spans(data, target)])
     spans = tree_spans(data, language, target) if language in TREES else None
     if spans is not None:
         return _rows(text, [(a, b, data[a:b].decode("utf-8", "replace")) for a, b in spans])
@@ -299,7 +314,7 @@ def windows_of(text: str, language: str | None, target: int) -> list[tuple[int,
     return _rows(text, [(place(a), place(b), text[a:b]) for a, b in text_spans(text, target)])
 
 
-def windows(files: DataFrame, target: int = WINDOW_BYTES) -> DataFrame:
+def windows(files: DataFrame, target: int = WINDOW_BYTES, lines: bool = True) -> DataFrame:
     """(file_id, path, start_line, end_line, text) of files (file_id, path, lang, text), `target` 1 at least.
 
     A null or blank text has none.  Windows of under 60 characters without white space around them are
@@ -312,7 +327,7 @@ def windows(files: DataFrame, target: int = WINDOW_BYTES) -> DataFrame:
             out: list[tuple] = []
             for i, path, language, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text and text.strip():
-                    out += [(i, path, *w) for w in windows_of(text, language, target)]
+                    out += [(i, path, *w) for w in windows_of(text, language, target, lines)]
             columns = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["file_id", "path", "start_line", "end_line", "text"])
 

@@ -7,7 +7,7 @@ import pytest
 
 from quarry import cli
 from quarry.extract import keyword_symbols, markdown_symbols, python_symbols
-from quarry.index import Index
+from quarry.index import Busy, Index
 from quarry.settings import ConfigError, Settings, as_toml, load
 from quarry.sources.tree import walk
 
@@ -60,7 +60,7 @@ def test_extraction():
     assert [r[:4] for r in markdown_symbols("# A\nx\n## B\n```\n# no\n```\n# C")] == [("A", "def", 1, 2), ("B", "def", 3, 6), ("C", "def", 7, 7)]
     got = keyword_symbols("fn main() {\n  run(1);\n}\nstruct S {\n}\n")
     assert [r[:4] for r in got if r[1] == "def"] == [("main", "def", 1, 3), ("S", "def", 4, 5)]
-    assert ("run", "ref", 2, 2, None, "main") in got
+    assert ("run", "ref", 2, 2, None, "main", None) in got
 
 
 def test_life(spark, root):
@@ -163,7 +163,7 @@ def test_every_language_key(spark):
 
 
 def test_stored_keyword_index(spark, root):
-    from quarry.operators import lexical
+    from quarry.operators import lexical, postings
 
     index = Index(spark, str(root), Settings(refresh_mode="manual"))
     index.refresh()
@@ -171,10 +171,60 @@ def test_stored_keyword_index(spark, root):
     (root / "README.md").unlink()
     index.refresh()
     want = lexical.prepared(index.table("chunk"), "keyword_text")
-    for name, fresh in zip(("posting", "length", "statistics"), want):
+    stored = index._keyword_index(index.meta())
+    have = postings.flat(spark, stored), *(spark.read.parquet(f"{stored.folder}/{t}") for t in ("lengths", "statistics"))
+    for now, fresh in zip(have, want):
         rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
-        assert rows(index.table(name)) == rows(fresh), name
-    assert index.table("posting").where("term = 'ceiling'").count() == 0 and index.table("posting").where("term = 'threshold'").count() > 0
+        assert rows(now) == rows(fresh)
+    terms = {r.term for r in have[0].select("term").distinct().collect()}
+    assert "ceiling" not in terms and "threshold" in terms
+
+
+def test_killed_refresh(spark, root, monkeypatch):
+    """Whatever a refresh leaves when it is killed, the next one comes about, and readers have the version before."""
+    index = Index(spark, str(root), Settings(refresh_mode="manual"))
+    index.refresh()
+    (root / "pkg/retry.py").write_text(CODE.replace("backoff", "delay"))
+    for step in ("_chunks", "_keywords", "_publish"):
+        with monkeypatch.context() as m:
+            m.setattr(Index, step, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+            with pytest.raises(KeyboardInterrupt):
+                index.refresh()
+        assert index.definitions("backoff").count() == 1
+    (index.home / "draft-dead.json").write_text("{")
+    assert index.refresh()["changed"] == 1 and index.definitions("delay").count() == 1
+    assert len(list(index.home.glob("v-*"))) == 2 and not list(index.home.glob("draft-*"))
+
+
+def test_two_writers(spark, root):
+    first, second = (Index(spark, str(root), Settings(rescan_after_seconds=0)) for _ in range(2))
+    with first._writing():
+        with pytest.raises(Busy):
+            second.fresh()  # never built: nothing to serve
+    first.refresh()
+    held = second.definitions("backoff")
+    (root / "pkg/retry.py").write_text(CODE.replace("backoff", "delay"))
+    with first._writing():
+        with pytest.raises(Busy):
+            second.refresh()
+        second.fresh()  # serves what there is
+        assert second.definitions("backoff").count() == 1
+    # Where the system's lock does not hold, the manifest's number does: of two from one version one comes about.
+    old = first.meta()
+    first._publish(old, old | {"scanned": 1})
+    with pytest.raises(Busy):
+        second._publish(old, old | {"scanned": 2})
+    assert first.meta()["scanned"] == 1
+    second.fresh()
+    assert second.definitions("delay").count() == 1 and held.count() == 1  # a reader keeps its version
+
+
+def test_identity_has_the_extractor(monkeypatch):
+    from quarry import extract, index
+
+    before = index.identity(Settings())
+    monkeypatch.setattr(extract, "REVISION", extract.REVISION + 1)
+    assert index.identity(Settings()) != before
 
 
 def test_canary(spark, root):
@@ -183,8 +233,7 @@ def test_canary(spark, root):
     q = spark.createDataFrame([(0, "seconds before the next attempt")], "query_id int, query string")
     assert "vector" in index.search(q, 1).first().tiers
     meta = index.meta()
-    version = meta.pop("version")
-    index._swap(version, meta | {"canary": [[-x for x in v] for v in meta["canary"]]})
+    index._publish(meta, meta | {"canary": [[-x for x in v] for v in meta["canary"]]})
     with pytest.warns(UserWarning, match="left out"):
         assert "vector" not in index.search(q, 1).first().tiers
 

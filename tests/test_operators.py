@@ -144,3 +144,35 @@ def test_scope(spark):
 def test_min_max(spark):
     d = spark.createDataFrame([(0, 1, 2.0), (0, 2, 1.0), (1, 1, 3.0)], "query_id int, chunk_id int, fused double")
     assert {(r.query_id, r.chunk_id): r.score for r in fusion.min_max(d).collect()} == {(0, 1): 1.0, (0, 2): 0.0, (1, 1): 1.0}
+
+
+def test_innermost_is_linear(spark):
+    """One file of 100,000 symbols, nested and not, against a sweep told otherwise; ties, nulls, no line."""
+    rng = random.Random(4)
+    defs = [(1, k, a := rng.randrange(1, 40_000), a + int(rng.paretovariate(0.7)) % 3000) for k in range(50_000)]
+    defs += [(1, 90_001, 5, 5), (1, 90_000, 5, 5), (2, 90_002, 1, 9), (None, 90_003, 1, 9), (1, 90_004, 9, 3)]
+    refs = [(1, 200_000 + k, rng.randrange(1, 43_000)) for k in range(50_000)] + [(1, 300_000, 5), (2, 300_001, 9), (2, 300_002, 10), (None, 300_003, 2), (2, 300_004, None)]
+    got = symbols.innermost(spark.createDataFrame(refs, "file_id long, symbol_id long, start_line int").withColumn("enclosing_name", F.lit("x")), spark.createDataFrame(defs, "file_id long, symbol_id long, start_line int, end_line int"))
+    assert got.columns == ["symbol_id", "file_id", "start_line", "enclosing_name", "enclosing_id"]
+    best = {}
+    for f, k, a, b in sorted((d for d in defs if d[0] == 1), key=lambda d: (d[3] - d[2], d[1]), reverse=True):
+        best.update(dict.fromkeys(range(a, b + 1), k))  # shorter ones overwrite longer ones
+    want = {i: best.get(line) for f, i, line in refs if f == 1} | {300_001: 90_002, 300_002: None, 300_003: None, 300_004: None}
+    assert {r.symbol_id: r.enclosing_id for r in got.collect()} == want and want[300_000] == 90_000
+
+
+def test_comments_and_distilled_text(spark):
+    code = "// zero\n# one  \n\t/* two\n * three - four\n;; five\n--- six \nplain\n  /// seven //\ndef f():\n    return HTTPServer_v2\n" + "x = 1\n" * 20
+    files = spark.createDataFrame([(1, "docs/readMe.md", code)], "file_id long, path string, text string")
+    defs = spark.createDataFrame([(1, 10, 9, 30, "function"), (1, 11, 1, 30, "function"), (1, 12, 3, 30, None)], "file_id long, symbol_id long, start_line int, end_line int, kind string")
+    got = {r.symbol_id: r for r in chunks.definition_chunks(defs, files).collect()}
+    assert got[10].comments == "two three - four five six seven //" and got[11].comments == "" and got[12].comments == "zero one"
+    kind = spark.createDataFrame([("function", "two", "f HTTPServer_v2 f"), (None, "", "f")], "kind string, comments string, text string")
+    made = [r.t for r in kind.select(chunks.embed_text(F.lit("docs/readMe.md"), F.col("text"), F.col("kind"), F.col("comments")).alias("t")).collect()]
+    assert made == ["docs read Me md :: function :: two :: f HTTP Server v 2", "docs read Me md :: f"]
+
+
+def test_claims_of_one_position(spark):
+    rows = [(1, 5, 10, "b"), (1, 5, 10, "a"), (1, 6, 2, "c"), (2, None, 1, "d"), (3, None, 1, "d"), (1, 7, 30, "e")]
+    got = chunks.claimed_once(spark.createDataFrame([(s, i, p, t) for i, s, p, t in rows], "symbol_id long, chunk_id long, position int, text string").where("true"))
+    assert got.where("symbol_id is not null").groupBy("symbol_id").count().where("count > 1").count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import windows as w
+from quarry.operators import chunks
 from quarry.plans import queries
 from tests.test_scanner import SAMPLES
 
@@ -141,6 +142,17 @@ def test_text_windows():
         assert "".join(text[a:b] for a, b in spans) == text
 
 
+def test_line_windows_are_those_of_the_plan(spark):
+    rng = random.Random(2)
+    rows = [(i, "p", None, "".join(rng.choice(["some words of a line", "é漢 ", "\n", "\n", "x" * 90]) for _ in range(rng.randrange(1, 90))) + "z") for i in range(60)]
+    df = spark.createDataFrame(rows, "file_id long, path string, lang string, text string")
+    for target in (1, 100, 750):
+        want = chunks.bounded(chunks.line_windows(df, target))
+        key = lambda r: (r.file_id, r.start_line, r.end_line, r.text.rstrip("\n"))
+        assert sorted(map(key, w.windows(df, target).collect())) == sorted(map(key, want.collect()))
+    assert w.line_spans(b"x" * 50_000 + b"\nend", 750) == [(0, 20_000), (20_000, 40_000), (40_000, 50_001), (50_001, 50_004)]
+
+
 def test_windows_table(spark):
     long = "word " * 20 + "\n"
     rows = [(1, "a.py", "python", PYTHON * 4), (2, "b.py", "python", "def (\n" + long * 30), (3, "c", None, long * 9), (4, "d", "python", None), (5, "e", "html", ""), (6, "f", "rust", " \n "), (7, "g", "html", HTML * 9)]
