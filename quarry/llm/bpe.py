@@ -92,8 +92,11 @@ class _Table:
 
 class Automaton:
     def __init__(self, file: str) -> None:
-        with open(file, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(file, "rb") as f:
+            data = f.read()
+        spec = json.loads(data)
+        #: What a worker knows the tokenizer by: two that share a pattern and a size are not one.
+        self.name = hashlib.sha256(data).hexdigest()
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
@@ -327,7 +330,7 @@ def _shared(docs: DataFrame, file: str):
 
 
 def _worker(shared) -> Automaton:
-    key = shared.value.pattern + str(len(shared.value.label))
+    key = shared.value.name
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = shared.value.ready()

@@ -132,12 +132,11 @@ def fit(docs: DataFrame, training) -> Model | None:
     if not counts:
         return None
     each = min(SAMPLE_PER_LANG, max(1, SAMPLE // len(counts)))
-    # A share of a language's rows that holds four times its sample: what is ranked is bounded, however large the corpus.
-    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 4 * each / r["count"])) for r in counts], "lang string, share double")
-    # Broadcast: as many rows as there are languages, which the driver holds already.
-    some = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * float(1 << 40))
-    some = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
-    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).where(F.col("n") <= each)
+    # Of each language's distinct rows those of the smallest hashes; a task passes on no more than that of each.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    drawn = rows.select("lang", "h").distinct().withColumn("n", nth).where(F.col("n") <= each).select("lang", "h")
+    # Broadcast: SAMPLE rows of two columns at most, or one of each language where there are more.
+    picked = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     got = picked.select("lang", "h", "text").mapInArrow(_grams, "lang string, h bigint, grams binary").toArrow()  # at most SAMPLE texts' n-grams
     found = sorted((h * 2654435761 % 2**32, h, lang, g) for lang, h, g in zip(*(got[c].to_pylist() for c in ("lang", "h", "grams"))) if g)
     langs = [r.lang for r in sorted(counts, key=lambda r: (-r["count"], r.lang)) if any(x[2] == r.lang for x in found)]

@@ -55,3 +55,21 @@ def test_frames(spark, library):
     assert digest(docs.limit(0), FILE).collect() == []
     back = {r.doc_id: r.decoded for r in decode(encode(docs.where("doc_id > 2"), FILE), FILE).collect()}
     assert back[6] == library.decode(library.encode(ODD[6], add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_two_tokenizers_of_one_size_in_one_worker(tmp_path):
+    """A worker that has met one tokenizer does not encode with it for another."""
+    import json
+    from types import SimpleNamespace
+
+    from quarry.llm import bpe
+
+    spec = json.load(open(FILE))
+    vocab = spec["model"]["vocab"]
+    vocab["the</w>"], vocab["and</w>"] = vocab["and</w>"], vocab["the</w>"]
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    one, two = Automaton(FILE), Automaton(str(tmp_path / "other.json"))
+    first = bpe._worker(SimpleNamespace(value=one)).encode("the and")
+    second = bpe._worker(SimpleNamespace(value=two)).encode("the and")
+    assert first == second[::-1] != second
+    assert bpe._worker(SimpleNamespace(value=one)).encode("the and") == first

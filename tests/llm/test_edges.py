@@ -157,3 +157,15 @@ def test_jaccard(docs, none):
     assert {r.component_id for r in got if r.doc_id in (1, 4)} == {1} and {r.component_id for r in got if r.doc_id == 3} == {3}
     assert {r.n_shingles for r in got if r.doc_id in (2, 3)} == {0}
     assert rows(jaccard.join(none)) == []
+
+
+def test_every_language_is_learned(spark):
+    """A language whose rows are thousands of copies of few texts beside one of many texts."""
+    czech = ["příliš žluťoučký kůň úpěl ďábelské ódy", "dnes je krásný den a svítí slunce", "kdo jinému jámu kopá sám do ní padá"]
+    rows = [(k, czech[k % 3], "cs") for k in range(0, 9000)] + [(10_000 + k, f"the ship number {k} sails at noon with crew {k % 7}", "en") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6)
+    same = docs.withColumn("doc_id", F.when(F.col("lang") == "cs", F.lit(7).cast("bigint")).otherwise(F.col("doc_id")))
+    for table in (docs, same, same.withColumn("doc_id", F.when(F.col("lang") != "cs", F.col("doc_id")))):
+        model = langid.fit(table, F.lit(True))
+        assert sorted(model.langs) == ["cs", "en"]
+        assert model.predict(["kůň a slunce", "the crew sails"])[0] == ["cs", "en"]
