@@ -18,6 +18,7 @@ KEYWORDS = (
     "class", "module", "defmodule", "def", "interface", "struct", "enum", "trait", "type", "func", "function", "object",
     "abstract class", "data class", "fn", "fun", "package", "namespace", "protocol", "record", "typedef",
 )
+#: SQL's words before a declared name, and names inside prose.
 SQL_KEYWORDS = ("CREATE TABLE", "CREATE VIEW", "CREATE PROCEDURE", "CREATE FUNCTION")
 EMBEDDED = r"\b(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)\b"
 #: Chunks that a path match may add to a query.
@@ -94,17 +95,30 @@ def boosts(c: DataFrame, queries: DataFrame, chunks: DataFrame | None = None, st
     if chunks is None:
         return out
     wanted = q.join(tops, "query_id").where("_top > 0").select("query_id", "is_symbol", "_names", "_top", F.explode(F.filter("_names", lambda n: F.length(n) >= 3)).alias("_n"))
-    # A name lies in a path that has the name's first three letters somewhere: an equality to join on.
-    low = F.lower("path")
-    thirds = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
-    paths = chunks.select("path").distinct().where(F.length(low) >= 3).select("path", F.explode(F.array_distinct(thirds)).alias("_third"))
-    held = paths.join(wanted.withColumn("_third", F.substring(F.lower("_n"), 1, 3)), "_third").where(low.contains(F.lower("_n")))
+    held = paths_like(chunks.select("path").distinct(), wanted)
     near = chunks.select("chunk_id", "path", "text").join(held.select("query_id", "is_symbol", "_names", "_top", "path").dropDuplicates(["query_id", "path"]), "path")
     near = near.dropDuplicates(["query_id", "chunk_id"]).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("_r") <= EXTRA)
     near = near.join(out.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return out.unionByName(near.withColumn("score", named_bonus(F.col("text"), F.col("path"), F.col("_names"), unit)).where("score <> 0").select(*cols))
 
 
+def paths_like(paths: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of `names` (column `_n`) beside each `path` that is LIKE `%name%`, in any case.
+
+    As in SQL, `_` in a name stands for any character and `%` for any run; a backslash is itself.  A
+    name's longest run of other characters gives its first three (or fewer) as a key to join on, and a
+    path has a key for each of its runs of three or fewer; then LIKE decides.
+    """
+    low = F.lower("path")
+    grams = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    keyed = paths.where(low.isNotNull()).select("path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))).alias("_key"))
+    name = F.lower("_n")
+    run = F.array_max(F.transform(F.split(name, "[_%]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    pattern = F.concat(F.lit("%"), F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    asked = names.where(F.col("_n").isNotNull()).withColumn("_key", F.substring(run, 1, 3)).withColumn("_pattern", pattern)
+    return keyed.join(asked, "_key").where(F.like(low, F.col("_pattern"))).drop("_key", "_pattern")
+
+
 def penalised(c: DataFrame) -> DataFrame:
     return c.withColumn("score", F.col("score") * path_penalty(F.col("path")))
 

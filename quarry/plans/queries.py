@@ -216,6 +216,40 @@ def search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall(_hits(spark, sf_dir), _relevant(spark, sf_dir)).select(F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"))
 
 
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')[1:6]) AS w FROM benchmark),
+n AS (SELECT DISTINCT item_id AS query_id, w[1:2] || '_' || w[4:] AS name FROM w)
+SELECT query_id, name, page_id FROM n JOIN pages ON lower(url) LIKE '%' || name || '%'""")
+def paths_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address is LIKE a name with a wildcard in it."""
+    words = F.explode(F.slice(text.matches(F.lower("text"), "[a-z]{4,}"), 1, 6))
+    names = px.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w"))
+    names = names.select("query_id", F.concat(F.substring("w", 1, 2), F.lit("_"), F.expr("substring(w, 4)")).alias("_n")).distinct()
+    pages = px.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), "page_id")
+    found = rerank.paths_like(pages.select("path").distinct(), names)
+    return found.join(pages, "path").select("query_id", F.col("_n").alias("name"), "page_id")
+
+
+@query(r"""WITH e AS (SELECT vec_id, embedding, count(*) OVER () AS n FROM embeddings),
+t AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+') AS ws FROM documents)),
+k AS (SELECT doc_id, i, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % (2 * (SELECT count(*) FROM embeddings)) AS id FROM t),
+h AS (SELECT doc_id, embedding::DOUBLE[] AS row, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM k JOIN e ON vec_id = id),
+d AS (SELECT doc_id, unnest(row) AS x, generate_subscripts(row, 1) AS j FROM h WHERE nth <= 512),
+s AS (SELECT doc_id, j, avg(x) AS x FROM d GROUP BY ALL),
+v AS (SELECT doc_id, j, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM s)
+SELECT doc_id, j AS dim, round(x, 5) AS x FROM v WHERE j <= 8""")
+def lookup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as means of the table rows that their words are led to; half of the words lead to none."""
+    e = px.table(spark, sf_dir, "embeddings")
+    docs = px.table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.broadcast(e.agg((2 * F.count("*")).alias("n")))  # one row
+    words = docs.select(F.explode(lexical.tokens(F.col("text"))).alias("token")).distinct().join(n, F.lit(True))
+    id_ = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n")
+    table = words.withColumn("vec_id", id_).join(e, "vec_id").select("token", F.col("embedding").alias("row"))
+    made = vectors.pooled(docs, "text", table, 64).where(F.exists("vec", lambda x: x != 0))
+    out = made.select("doc_id", F.posexplode("vec").alias("dim", "x")).where("dim < 8")
+    return out.select("doc_id", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
+
+
 # --- boosts ----------------------------------------------------------------------------------
 
 _HEADS = ("class ", "def ", "the ", "CREATE TABLE ", "create view ", "fn ns::", "module a.b.", "data class ", "x class", "reclass ")

@@ -109,7 +109,7 @@ def test_vectors(spark):
     rng = random.Random(2)
     v = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, [0.0] * 8)]
     d = spark.createDataFrame(v, "chunk_id int, vec array<double>")
-    got = vectors.nearest(d.where("chunk_id < 7").withColumnRenamed("chunk_id", "query_id"), d, 5, block=3).collect()
+    got = vectors.nearest(d.where("chunk_id < 7").withColumnRenamed("chunk_id", "query_id"), d, 5, block_bytes=8 * 8 * 7).collect()
     cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / max(1e-300, math.dist(a, [0] * 8) * math.dist(b, [0] * 8)), 6)
     for q in range(7):
         want = sorted(((-cos(v[q][1], b), i) for i, b in v))[:5]
@@ -176,3 +176,66 @@ def test_claims_of_one_position(spark):
     rows = [(1, 5, 10, "b"), (1, 5, 10, "a"), (1, 6, 2, "c"), (2, None, 1, "d"), (3, None, 1, "d"), (1, 7, 30, "e")]
     got = chunks.claimed_once(spark.createDataFrame([(s, i, p, t) for i, s, p, t in rows], "symbol_id long, chunk_id long, position int, text string").where("true"))
     assert got.where("symbol_id is not null").groupBy("symbol_id").count().where("count > 1").count() == 0
+
+
+def test_nearest_in_blocks(spark):
+    """Many blocks of either side, ties over block edges, a zero and a null vector, more asked than there are."""
+    rng = random.Random(12)
+    v = [(i, [float(rng.randrange(-1, 2)) for _ in range(4)]) for i in range(300)] + [(900, [0.0] * 4), (901, None)]
+    d = spark.createDataFrame(v, "chunk_id long, vec array<double>").repartition(5)
+    q = d.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / max(1e-300, math.dist(a, [0] * 4) * math.dist(b, [0] * 4)), 6)
+    for k in (1, 7, 400):
+        got = {}
+        for r in vectors.nearest(q, d, k, block_bytes=4 * 8 * 40).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, r.score))
+        assert set(got) == {i for i, x in v if i % 3 == 0 and x}
+        for i, rows in got.items():
+            want = sorted((-cos(v[i][1] if i < 300 else [0.0] * 4, x), j) for j, x in v if x)[:k]
+            assert [(j, -s) for s, j in want] == [(c, s) for _, c, s in sorted(rows)]
+    assert vectors.nearest(q.limit(0), d).count() == vectors.nearest(q, d.limit(0)).count() == 0
+    many = spark.range(100_000).selectExpr("id as query_id", "array(1.0D, cast(id as double), 0.5D) as vec")
+    plan = vectors.nearest(many, many.withColumnRenamed("query_id", "chunk_id"), 5, block_bytes=1 << 18)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan and "Cartesian" not in plan
+
+
+def test_paths_like(spark):
+    rng = random.Random(5)
+    paths = ["src/aXb.py", "a_b", "axb/c", "ab", "a\\b", "50%_off", "", "é_ü/x", "lib/Retry_Policy.go", *("".join(rng.choice("ab_x/") for _ in range(rng.randrange(1, 9))) for _ in range(120))]
+    names = ["a_b", "A_B", "retry_policy", "___", "a\\b", "0%o", "_", "é_ü", "x__b", "zzz", *("".join(rng.choice("abx_") for _ in range(rng.randrange(1, 5))) for _ in range(40))]
+    import re
+
+    def like(path, name):
+        parts = ["." if c == "_" else ".*" if c == "%" else re.escape(c) for c in name.lower()]
+        return re.search("".join(parts), path.lower(), re.S) is not None
+
+    df = spark.createDataFrame([(p,) for p in {*paths}] + [(None,)], "path string")
+    asked = spark.createDataFrame([(n,) for n in {*names}] + [(None,)], "_n string")
+    got = {(r.path, r._n) for r in rerank.paths_like(df, asked).collect()}
+    assert got == {(p, n) for p in {*paths} for n in {*names} if like(p, n)}
+    assert ("axb/c", "a_b") in got and ("a\\b", "a\\b") in got
+
+
+def test_lookup_encoder(spark):
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("é", [9.0, 9.0])], "token string, row array<double>")
+    rows = [(1, "A b"), (2, "a unknown"), (3, "unknown"), (4, ""), (5, None), (6, "b " * 600 + "a " * 600), (1, "A b")]
+    got = vectors.pooled(spark.createDataFrame(rows, "chunk_id int, t string").withColumn("vec", F.lit(1)), "t", table, 2, 6).collect()
+    vec = {r.chunk_id: r.vec for r in got}
+    half = round(0.5**0.5, 6)
+    assert len(got) == 7 and vec == {1: [half, half], 2: [1, 0], 3: [0, 0], 4: [0, 0], 5: [0, 0], 6: [0, 1]}
+
+
+def test_learned_table(spark):
+    """Words of one topic come to lie nearer to each other than to another's, and texts with them."""
+    rng = random.Random(3)
+    topics = [[f"{t}{i}" for i in range(30)] for t in ("sea", "road", "sky", "wood")]
+    rows = [(k, " ".join(rng.choices(topics[k % 4], k=12) + rng.choices(["and", "the", "of"], k=6))) for k in range(600)]
+    chunks_ = spark.createDataFrame(rows, "chunk_id long, text string")
+    table = vectors.learned(chunks_, dims=8, vocabulary=200, sample=400)
+    again = vectors.learned(chunks_.repartition(7), dims=8, vocabulary=200, sample=400)
+    assert sorted(map(str, table.collect())) == sorted(map(str, again.collect()))
+    made = vectors.pooled(chunks_, "text", table, 8)
+    near = vectors.nearest(made.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id"), made.select("chunk_id", "vec"), 10).collect()
+    right = sum(r.query_id % 4 == r.chunk_id % 4 for r in near) / len(near)
+    assert right > 0.95
+    assert vectors.learned(chunks_.limit(0), dims=4).count() == 0
