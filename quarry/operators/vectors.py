@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -104,18 +106,40 @@ def pooled(items: DataFrame, text: str, table: DataFrame, dims: int, digits: int
     """`vec` beside the items' columns: the mean of the rows of `table` (token, row) that a text's first
     MOST_TOKENS known words have, to unit length; zeros for a text without any.
 
-    The table is joined, so its size is the planner's business.  A text's rows are few enough for one
-    array.  Rows that repeat are told apart; a column `vec` is replaced.
+    The table is joined, so its size is the planner's business; all its rows have `dims` numbers.  A
+    text's rows come in order behind the window that counts them and are added up as they pass.  Rows
+    that repeat are told apart; a column `vec` is replaced.
     """
     items = items.drop("vec").withColumn("_row", F.monotonically_increasing_id())
     words = matches(folded(F.coalesce(F.col(text), F.lit(""))), r"[\p{L}\p{N}]+")
     each = items.select("_row", F.posexplode(words).alias("_at", "token"))
     held = each.join(table.select("token", F.transform("row", lambda x: x.cast("double")).alias("row")), "token")
     nth = F.row_number().over(Window.partitionBy("_row").orderBy("_at"))
-    held = held.withColumn("_n", nth).where(F.col("_n") <= MOST_TOKENS).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "row"))).alias("rows"))
+    held = held.withColumn("_n", nth).where(F.col("_n") <= MOST_TOKENS).sortWithinPartitions("_row", "_at").select("_row", "row")
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = np.zeros(0, np.int64), np.zeros((0, dims))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.concatenate([ids, b.column(0).to_numpy()])
+            rows = np.concatenate([rows, b.column(1).flatten().to_numpy().reshape(b.num_rows, dims)])
+            last = int(np.searchsorted(ids, ids[-1]))  # the last text may go on
+            if last:
+                yield summed(ids[:last], rows[:last])
+                ids, rows = ids[last:], rows[last:]
+        if len(ids):
+            yield summed(ids, rows)
+
+    def summed(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        own, first, many = np.unique(ids, return_index=True, return_counts=True)
+        m = np.add.reduceat(rows, first, axis=0) / many[:, None]
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["_row", "vec"])
+
+    made = held.mapInArrow(mean, "_row bigint, vec array<double>")
     zero = F.array_repeat(F.lit(0.0), dims)
-    total = F.aggregate("rows", zero, lambda s, r: F.zip_with(s, r["row"], lambda x, y: x + y))
-    made = held.select("_row", unit(F.transform(total, lambda x: x / F.size("rows"))).alias("vec"))
     out = items.join(made, "_row", "left").withColumn("vec", F.coalesce("vec", zero)).drop("_row")
     return out if digits is None else out.withColumn("vec", F.transform("vec", lambda x: F.round(x, digits)))
 
