@@ -285,7 +285,7 @@ def digest(docs: DataFrame, a_file: str, b_file: str, run_bytes: int = RUN_BYTES
     counts of a text's links, and n_best are those whose count is the highest of all pairs of their
     B id, ties included.  Rows without tokens have zeros and an empty groups_sha256 (see `align`).
     """
-    rows = written(_runs(docs, a_file, b_file, run_bytes), "zstd")  # encoded once; run numbers are fixed from here on
+    rows = written(_runs(docs, a_file, b_file, run_bytes))  # encoded once; run numbers are fixed from here on
     asked = rows.where("pairs is not null").select("run", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "p")).select("run", "place", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
     ids_b = F.lit(_vocabulary_size(b_file))
     totals = asked.groupBy("pair").agg(F.sum("n").alias("total"))

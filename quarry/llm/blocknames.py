@@ -135,7 +135,7 @@ def dedup(docs: DataFrame, block: int = BLOCK, run_bytes: int = RUN_BYTES) -> Da
     """
     if block < 1:
         raise ValueError("a block holds a byte at least")
-    rows = written(_runs(docs, block, run_bytes), "zstd")  # the run numbers are fixed from here on
+    rows = written(_runs(docs, block, run_bytes))  # the run numbers are fixed from here on
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", "run", "row"))
     locally = rows.groupBy("run", "local").agg(F.count("*").alias("n"), best.alias("best"))
     held = written(_identities(rows).join(locally, ["run", "local"]))

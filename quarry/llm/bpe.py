@@ -366,7 +366,11 @@ def decode(tokens: DataFrame, file: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, file: str) -> DataFrame:
-    """n_tokens and the sha256 of ids and decoded text of every row, nothing else leaving Python."""
+    """n_tokens and the sha256 of ids and decoded text of every row, nothing else leaving Python.
+
+    A null or empty text has no tokens and the digests of empty strings; rows that repeat stay rows;
+    columns other than doc_id and text are left out; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     shared = _shared(docs, file)
 

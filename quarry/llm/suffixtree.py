@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.arrowtext import LOWER, SPACE, mix, split_words, text_chunks, word_hashes
-from quarry.llm.batches import ASK, BATCH_BYTES, answered, asks, batched, by_bucket
+from quarry.llm.batches import ASK, answered, asks, batched, by_bucket
 from quarry.llm.langid import held_out
 
 #: Symbols of the longest context.
-ORDER = 1
+ORDER = 2
 #: Training occurrences that a context has at least.
 LEAST = 2
+#: Bytes of the hash that tells the symbols after one context apart.
+APART = 5
 #: A node's likelihood gain over its parent, in nats for each next symbol it has been seen with.
 GAIN = 1.0
 #: What each symbol seen after a node gives up, shared out by the parent's distribution.
@@ -35,7 +37,9 @@ DISCOUNT = 0.75
 #: A parent's log probability is sent in one byte, in such parts of a nat, for the test alone.
 PARTS = 8
 #: Batches whose hashes one bucket takes, on average.
-BATCHES_PER_BUCKET = 4
+BATCHES_PER_BUCKET = 2
+#: UTF-8 bytes of text in a batch, about.
+BATCH_BYTES = 4 << 20
 _END = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD1342543DE82EF95)
 _JUDGED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -123,7 +127,7 @@ class _Batch:
         at = at[self.pair_at]
         self.pair_count = np.bincount(self.pair_of[self.train[at]], minlength=len(key))
         at = at[first]
-        self.low = self.symbol[at] & np.uint64(0xFFFFFF)
+        self.low = self.symbol[at] & np.uint64((1 << 8 * APART) - 1)
         self.code = np.minimum(np.rint(-PARTS * np.log(self.p[at])), 255).astype(np.int64)
         self.edge = np.searchsorted(key // max(1, len(self.words)), np.arange(len(self.contexts) + 1))
         self.total = np.zeros(len(key), np.int64)
@@ -136,7 +140,7 @@ class _Batch:
     def pair_cell(self, a: int, b: int) -> bytes:
         x, y = self.edge[a], self.edge[b]
         head = np.array([b - a, y - x], np.int64).tobytes() + _planes(self.contexts[a:b], 8) + _planes(np.diff(self.edge[a : b + 1]), 4)
-        return head + _planes(self.low[x:y], 3) + _planes(self.code[x:y], 1) + _planes(self.pair_count[x:y], 4)
+        return head + _planes(self.low[x:y], APART) + _planes(self.code[x:y], 1) + _planes(self.pair_count[x:y], 4)
 
     def _hear(self, cell: bytes, a: int, b: int) -> None:
         x, y, n = self.edge[a], self.edge[b], b - a
@@ -165,20 +169,23 @@ def _totals(t: pa.Table) -> pa.Table:
 
 def _nodes(cells: list[bytes], _: list[int]) -> list[bytes]:
     """Per cell: count and next symbols of every context that is a node, 0 for others; every pair's count."""
-    contexts, lengths, pairs, counts, sizes = [], [], [], [], []
+    contexts, lengths, pairs, codes, counts, sizes = [], [], [], [], [], []
     for c in cells:
         n, m = np.frombuffer(c, np.int64, 2).tolist()
         at = 16 + 12 * n
         contexts.append(_whole(c, 16, n, 8))
         lengths.append(_whole(c, 16 + 8 * n, n, 4).astype(np.int64))
-        pairs.append(_whole(c, at, m, 3) << np.uint64(8) | _whole(c, at + 3 * m, m, 1))
-        counts.append(_whole(c, at + 4 * m, m, 4))
+        pairs.append(_whole(c, at, m, APART))
+        codes.append(_whole(c, at + APART * m, m, 1))
+        counts.append(_whole(c, at + (APART + 1) * m, m, 4))
         sizes.append((n, m))
     key, context_of = np.unique(np.concatenate(contexts), return_inverse=True)
-    pair = np.repeat(context_of, np.concatenate(lengths)).astype(np.uint64) << np.uint64(32) | np.concatenate(pairs)
-    pair, pair_of = np.unique(pair, return_inverse=True)
+    if len(key) >= 1 << (64 - 8 * APART):
+        raise ValueError("a bucket holds too many contexts: take smaller batches or more buckets")
+    pair = np.repeat(context_of, np.concatenate(lengths)).astype(np.uint64) << np.uint64(8 * APART) | np.concatenate(pairs)
+    pair, first, pair_of = np.unique(pair, return_index=True, return_inverse=True)
     total = np.bincount(pair_of, weights=np.concatenate(counts), minlength=len(pair))
-    of, code = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(255)).astype(np.float64)
+    of, code = (pair >> np.uint64(8 * APART)).astype(np.int64), np.concatenate(codes)[first].astype(np.float64)  # the same in every batch
     some = total > 0
     n = np.bincount(of, weights=total, minlength=len(key))
     types = np.bincount(of[some], minlength=len(key))

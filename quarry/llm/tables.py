@@ -20,14 +20,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+#: Tables that this process has written and not removed yet.
+_MADE: list[str] = []
+
+
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession) -> None:
+    """Remove the tables that `written` has made so far: for when the results that read them are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        path = hadoop(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """(rows, UTF-8 bytes of all texts): two numbers for the driver."""
     r = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("b")).first()

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,17 @@ def test_scoring(spark, corpus, order):
         assert r.score == pytest.approx(sum(math.log10(p(x, tuple(padded[k : k + order]))) for k, x in enumerate(s)))
 
 
+def test_symbols_that_nearly_collide():
+    """Successors of one context that share their lowest 24 bits and their code are told apart."""
+    n = 3000
+    low = np.arange(n, dtype=np.uint64) << np.uint64(24) | np.uint64(5)
+    head = np.array([1, n], np.int64).tobytes() + suffixtree._planes(np.array([77]), 8) + suffixtree._planes(np.array([n]), 4)
+    cell = head + suffixtree._planes(low, suffixtree.APART) + suffixtree._planes(np.full(n, 40), 1) + suffixtree._planes(np.arange(n) + 1, 4)
+    for out in suffixtree._nodes([cell, cell], [0, 1]):
+        assert suffixtree._whole(out, 6, 1, 6)[0] in (0, n)
+        assert (suffixtree._whole(out, 12, n, 6).astype(int) == 2 * (np.arange(n) + 1)).all()
+
+
 def test_tree_is_a_distribution():
     rng = random.Random(11)
     train = [[*(rng.choice(["the", "then", "hen", "ab"]) for _ in range(30)), None] for _ in range(40)]
