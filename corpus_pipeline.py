@@ -6,6 +6,7 @@ documents.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, jaccard, langid, substrings
 from quarry.llm.queries import tokenizer_file
-from quarry.llm.tables import shared_folder, written
+from quarry.llm.tables import removed, shared_folder, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: shingles of five words, similarity of 80 / 100 or more.
@@ -59,21 +60,36 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate, each row judged by its own text."""
+    """Documents that the benchmark does not contaminate, each row judged by its own text.
+
+    A null text and an empty one have no words and stay, as does every row where the benchmark is empty;
+    rows that repeat stay or go together.
+    """
     return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and the digests of ids and decoded text."""
+    """Token counts and the digests of ids and decoded text, of every row; a null text counts as empty."""
     return bpe.digest(docs, tokenizer_file())
 
 
+def _stage(step):
+    """A stage: when it begins, the result of the one before is stored, so that one's own tables go."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify),
-    ("jaccard_join", near_duplicates),
-    ("substring_dedup", repeated_passages),
-    ("decontamination", decontaminated),
-    ("bpe", tokens),
+    ("language_id", _stage(identify)),
+    ("jaccard_join", _stage(near_duplicates)),
+    ("substring_dedup", _stage(repeated_passages)),
+    ("decontamination", _stage(decontaminated)),
+    ("bpe", _stage(tokens)),
 ]
 
 #: Classifier, tokenizer and digests cannot be said in SQL: tests hold the stages against brute force.
