@@ -21,7 +21,7 @@ from quarry import extract
 from quarry import windows as win
 from quarry.functions import classify, text
 from quarry.operators import chunks as ch
-from quarry.operators import fusion, lexical, postings, refresh, rerank, symbols, vectors
+from quarry.operators import fusion, lexical, postings, refresh, search, symbols, vectors
 from quarry.settings import Settings
 from quarry.sources.encoders import encoded, prefixes
 from quarry.sources.tree import tree, with_text
@@ -312,17 +312,8 @@ class Index:
         if dense:
             tiers = tiers.unionByName(fusion.ranked(near, "vector"))
         tiers = self._once(tiers)  # candidate_depth rows at most of each query and tier but the exact one
-        fused = fusion.first_tier(tiers) if s.ranker == "none" else fusion.reciprocal_rank(tiers, fusion.weights(q, s.adaptive_alpha, s.alpha_prose, s.alpha_symbol))
-        c = fusion.min_max(fused).join(held.select("chunk_id", "path", "text"), "chunk_id").select("query_id", "chunk_id", "path", "text", "score")
-        if s.rerank:
-            c = rerank.coherence(c, s.file_coherence)
-            c = rerank.boosts(c, q, held, s.stem_boost, s.definition_boost)
-            if asked == ["code"] or not asked:
-                c = rerank.penalised(c)
-            best = rerank.saturate(c, k, s.saturation_decay)
-        else:
-            best = lexical.top(c, k).withColumn("effective", F.col("score"))
-        best = rerank.rescaled(best).select("query_id", "chunk_id", "rank", F.col("final").alias("score"))
+        how = search.Ranking(s.ranker, s.adaptive_alpha, s.alpha_prose, s.alpha_symbol, s.rerank, s.file_coherence, s.stem_boost, s.definition_boost, s.saturation_decay, asked == ["code"] or not asked)
+        best = search.ranked(tiers, q, held, k, how).drop("path")
         name = self.table("symbol", m).select("symbol_id", "name", "signature")
         hits = best.join(held.drop("keyword_text"), "chunk_id").join(name, "symbol_id", "left").join(fusion.evidence(tiers), ["query_id", "chunk_id"], "left")
         first = F.substring(F.regexp_extract("text", r"(?m)^.*\S.*$", 0), 1, 500)

@@ -13,7 +13,7 @@ from quarry import windows
 from quarry.functions import classify, text
 from quarry.functions.languages import LANGUAGES
 from quarry.operators import chunks as ch
-from quarry.operators import evaluate, fusion, lexical, postings, refresh, rerank, symbols, vectors
+from quarry.operators import evaluate, fusion, lexical, postings, refresh, rerank, search, symbols, vectors
 from quarry.plans import proxies as px
 
 QUERIES: dict = {}
@@ -317,6 +317,98 @@ def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.saturate(c, 50).select("query_id", "chunk_id", "rank", F.round("effective", 6).alias("effective"))
 
 
+# --- the whole search ------------------------------------------------------------------------
+
+#: Words before a declared name.
+_DECLARING = "class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract class|data class|fn|fun|package|namespace|protocol|record|typedef"
+#: Documents as chunks: a third declare their first word, a fifth are tests, a file is named for its first capitalised word.
+_WHOLE = rf"""w AS (SELECT doc_id, coalesce(source, 's') AS source, coalesce(text, '') AS t, lower(regexp_extract(coalesce(text, ''), '[A-Z][a-z]+')) AS word FROM documents),
+ch AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'tests' ELSE source END AS parent, CASE WHEN word = '' THEN 'none' ELSE word END AS stem,
+         source || '/' || CASE WHEN doc_id % 5 = 0 THEN 'tests/' ELSE '' END || CASE WHEN word = '' THEN 'none' ELSE word END || '.py' AS path, CASE WHEN doc_id % 3 = 0 THEN 'class ' || t ELSE t END AS text
+  FROM w),
+q AS (SELECT item_id * 2 + 1 AS item_id, text, false AS sym FROM benchmark UNION ALL SELECT item_id * 2, regexp_extract(text, '[A-Z][a-z]+'), true FROM benchmark),
+{_LEXICAL.replace("FROM benchmark", "FROM q").replace("FROM documents", "FROM ch")},
+{_VECTOR.replace("b.item_id AS query_id", "b.item_id * 2 + 1 AS query_id")},
+{px.SYMBOLS},
+ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM (SELECT DISTINCT q.item_id AS query_id, s.file_id AS chunk_id FROM q JOIN symbols s ON s.tag = 'def' AND s.name = q.text)),
+fu AS (
+  SELECT query_id, chunk_id, round(sum(CASE WHEN tier = 'exact' THEN 1 WHEN tier = 'vector' THEN a ELSE 1 - a END / (60 + rank)), 9) AS f
+  FROM (SELECT query_id, 'lexical' AS tier, chunk_id, rank FROM lex UNION ALL SELECT query_id, 'vector', chunk_id, rank FROM vtop UNION ALL SELECT query_id, 'exact', chunk_id, rank FROM ex) t
+  JOIN (SELECT item_id, sym, CASE WHEN sym THEN 0.3e0 ELSE 0.5e0 END AS a FROM q) ON item_id = query_id GROUP BY ALL),
+mm AS (
+  SELECT query_id, chunk_id, round(CASE WHEN max(f) OVER q = min(f) OVER q THEN 1e0 ELSE (f - min(f) OVER q) / (max(f) OVER q - min(f) OVER q) END, 9) AS score
+  FROM fu WINDOW q AS (PARTITION BY query_id)),
+sc AS (SELECT query_id, chunk_id, path, text, score FROM mm JOIN ch ON doc_id = chunk_id),
+co AS (
+  SELECT *, max(score) OVER (PARTITION BY query_id) AS top, sum(score) OVER (PARTITION BY query_id, path) AS fs, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_id) AS pr FROM sc),
+ci AS (SELECT query_id, chunk_id, path, text, round(score + CASE WHEN pr = 1 AND top > 0 THEN top * 0.2e0 * fs / max(fs) OVER (PARTITION BY query_id) ELSE 0 END, 9) AS score FROM co),
+words AS (SELECT item_id, list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: length(x) > 2), lambda x: lower(x)), lambda x: NOT list_contains(string_split('{" ".join(text.PATH_STOP)}', ' '), x))) AS ks FROM q),
+sides AS (
+  SELECT doc_id, stem, lower(text) AS low, [stem, parent] || CASE WHEN regexp_matches(parent, '[0-9]') THEN regexp_extract_all(parent, '[a-z]+|[0-9]+') ELSE [] END AS ps FROM ch),
+tops AS (SELECT query_id, max(score) AS top FROM ci GROUP BY query_id),
+near AS (
+  SELECT item_id AS query_id, doc_id AS chunk_id, path, c.text, 0e0 AS score, top
+  FROM q JOIN tops ON query_id = item_id JOIN ch c ON lower(c.path) LIKE '%' || lower(q.text) || '%' WHERE sym AND top > 0 AND length(q.text) >= 3
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 200),
+al AS (
+  SELECT query_id, chunk_id, path, text, score, top, false AS added FROM ci JOIN tops USING (query_id)
+  UNION ALL SELECT *, true FROM near WHERE NOT EXISTS (SELECT 1 FROM ci WHERE ci.query_id = near.query_id AND ci.chunk_id = near.chunk_id)),
+gain AS (
+  SELECT al.*, CASE WHEN top <= 0 THEN 0 WHEN sym THEN
+      CASE WHEN regexp_matches(al.text, '(?m)(?:^|\s)(?:{_DECLARING})\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*' || q.text || '(?:\s|[<(' || chr(123) || ':\[;]|$)')
+           THEN top * 3e0 * CASE WHEN s.stem = lower(q.text) OR rtrim(s.stem, 's') = lower(q.text) THEN 1.5e0 ELSE 1 END ELSE 0 END
+    ELSE (SELECT CASE WHEN r < 0.10e0 THEN 0 ELSE top * r END FROM (SELECT CASE WHEN len(ks) > 0 THEN len(list_filter(ks, lambda k: len(list_filter(ps, lambda p: p = k OR (least(length(k), length(p)) >= 3 AND (starts_with(p, k) OR starts_with(k, p))))) > 0)) / len(ks)::DOUBLE ELSE 0 END AS r)) END AS g
+  FROM al JOIN q ON q.item_id = query_id JOIN words ON words.item_id = query_id JOIN sides s ON s.doc_id = chunk_id),
+base AS (
+  SELECT query_id, chunk_id, path, text, round(round(score + g, 9) * CASE WHEN path LIKE '%/tests/%' THEN 0.3e0 ELSE 1 END, 9) AS score FROM gain WHERE NOT added OR g <> 0),
+sat AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn, row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_id) - 1 AS n,
+         CASE WHEN text <> '' THEN row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, chunk_id) - 1 ELSE 0 END AS rep FROM base),
+eff AS (SELECT *, score * pow(0.5e0, n + rep) AS eff FROM sat),
+flo AS (SELECT *, coalesce(min(eff) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'infinity'::DOUBLE) AS fl FROM eff),
+stp AS (SELECT *, max(CASE WHEN rn - 1 >= 10 AND score <= fl THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended FROM flo),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff DESC, chunk_id) AS rank FROM stp WHERE ended = 0 QUALIFY rank <= 10),
+plain AS (SELECT query_id, chunk_id, path, score AS eff, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10)"""
+_OUT = "SELECT query_id, chunk_id, path, CAST(rank AS INTEGER) AS rank, round(CASE WHEN max(eff) OVER (PARTITION BY query_id) > 0 THEN eff / max(eff) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score FROM"
+
+
+def _whole(spark: SparkSession, sf_dir: str, by: search.Ranking) -> DataFrame:
+    body, first = F.coalesce("text", F.lit("")), F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Z][a-z]+", 0))
+    path = F.concat(F.coalesce("source", F.lit("s")), F.lit("/"), F.when(F.col("doc_id") % 5 == 0, "tests/").otherwise(""), F.when(first == "", "none").otherwise(first), F.lit(".py"))
+    held = px.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("file_id"), path.alias("path"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("class "), body)).otherwise(body).alias("text"), F.size(F.split(body, "\n")).alias("end_line"))
+    held = held.withColumns({"symbol_id": F.lit(None).cast("bigint"), "start_line": F.lit(1)})
+    asked = px.queries(spark, sf_dir).select("query_id", "query", "vec")
+    prose = asked.select((F.col("query_id") * 2 + 1).alias("query_id"), "query", "vec")
+    names = asked.select((F.col("query_id") * 2).alias("query_id"), F.regexp_extract("query", "[A-Z][a-z]+", 0).alias("query"), F.lit(None).cast("array<float>").alias("vec"))
+    q = prose.unionByName(names).withColumn("is_symbol", text.is_symbol_query(F.col("query"))).withColumn("is_prose", text.is_prose(F.col("query")))
+    exact = symbols.exact(q, px.symbols(spark, sf_dir), held).withColumn("score", F.lit(1.0))
+    words = lexical.top(lexical.bm25(q, held).withColumn("score", F.round("score", 6)))
+    stored = px.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    tiers = fusion.ranked(exact, "exact").unionByName(fusion.ranked(words, "lexical")).unionByName(fusion.ranked(vectors.nearest(q, stored), "vector"))
+    best = search.ranked(_stored(tiers), q, held, 10, by)
+    return best.select("query_id", "chunk_id", "path", "rank", F.round("score", 6).alias("score"))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """A table that several branches read, written once."""
+    folder = f"{_scratch(df.sparkSession)}/once-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@query(f"WITH {_WHOLE} {_OUT} best")
+def whole_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tiers, coherence, boosts, added chunks, penalties and saturation, for names and prose."""
+    return _whole(spark, sf_dir, search.Ranking(digits=9))
+
+
+@query(f"WITH {_WHOLE} {_OUT} plain")
+def unranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the fused order alone, without reranking."""
+    return _whole(spark, sf_dir, search.Ranking(rerank=False, digits=9))
+
+
 # --- classification and text -----------------------------------------------------------------
 
 _LANG_SQL = "CASE " + " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in LANGUAGES.items() if k.startswith(".")) + " END"
