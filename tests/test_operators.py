@@ -54,6 +54,11 @@ def test_generated_probe_keeps_long_texts(spark, tmp_path):
     assert sum(len((t or "").encode()) > 65_536 for t in texts) == 5 and want == [False, True, True, False, True, False, False]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.generated for r in queries.generated_probe(spark, str(tmp_path)).collect()} == dict(enumerate(want))
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(db.execute(queries.SQL["generated_probe"]).fetchall()) == dict(enumerate(want))
 
 
 def greedy(rows, limit, decay):
