@@ -124,7 +124,7 @@ def pages_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(captures, host_list(captures))
 
 
-#: DuckDB SQL of `pages_judged`, for hosts of up to eight labels; `judge` has no such bound.
+#: DuckDB SQL of `pages_judged`.
 SQL = r"""
 WITH c AS (
   SELECT page_id, url, make_timestamp((1577836800 + (page_id * 7919 % 1461) * 86400 + page_id * 31 % 86400) * 1000000) AS fetched_at,
@@ -143,9 +143,9 @@ i AS (
          make_timestamp((1577836800 + lead(d) OVER (PARTITION BY key ORDER BY d) * 86400) * 1000000) AS until
   FROM (SELECT key, d, max(action) AS action FROM l GROUP BY key, d)),
 k AS (
-  SELECT page_id, url, fetched_at, host, unnest(list_transform(range(1, least(len(string_split(host, '.')), 8) + 1), lambda n: array_to_string(list_slice(string_split(host, '.'), len(string_split(host, '.')) - n + 1, len(string_split(host, '.'))), '.'))) AS key FROM c WHERE host <> ''
+  SELECT page_id, url, fetched_at, host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: array_to_string(list_slice(string_split(host, '.'), len(string_split(host, '.')) - n + 1, len(string_split(host, '.'))), '.'))) AS key FROM c WHERE host <> ''
   UNION ALL
-  SELECT page_id, url, fetched_at, host, unnest(list_transform(range(1, least(len(parts), 3) + 1), lambda n: host || '/' || array_to_string(list_slice(parts, 1, n), '/'))) AS key FROM c WHERE host <> '' AND len(parts) > 0),
+  SELECT page_id, url, fetched_at, host, unnest(list_transform(range(1, len(parts) + 1), lambda n: host || '/' || array_to_string(list_slice(parts, 1, n), '/'))) AS key FROM c WHERE host <> '' AND len(parts) > 0),
 m AS (
   SELECT k.page_id, k.key, i.action, i.since, i.until, row_number() OVER (PARTITION BY k.page_id ORDER BY k.key LIKE '%/%' DESC, length(k.key) DESC) AS n
   FROM k JOIN i ON k.key = i.key AND i.action <> 'remove' AND k.fetched_at >= i.since AND (i.until IS NULL OR k.fetched_at < i.until))
