@@ -318,3 +318,68 @@ def test_net_gradients():
         down = f()
         a[i] += 1e-4
         assert (up - down) / 2e-4 == pytest.approx(g[i], abs=2e-3)
+
+
+def scalar_logit(p, words, vectors):
+    """The network over one window, a number at a time: gates, candidate, attention, pooling."""
+    h = toxicity.STATE
+    sig = lambda a: 1 / (1 + math.exp(-a))
+    dot = lambda x, m, j: sum(float(a) * float(m[i][j]) for i, a in enumerate(x))
+    states = [[0.0] * (2 * h) for _ in words]
+    for side, order, at in (("f", range(len(words)), 0), ("b", range(len(words) - 1, -1, -1), h)):
+        x, u, c = p["x" + side], p["u" + side], p["c" + side]
+        now = [0.0] * h
+        for t in order:
+            a = [dot(vectors[words[t]], x, j) + float(c[j]) for j in range(3 * h)]
+            g = [dot(now, u, j) for j in range(3 * h)]
+            new = []
+            for j in range(h):
+                z, r = sig(a[j] + g[j]), sig(a[h + j] + g[h + j])
+                cand = math.tanh(a[2 * h + j] + r * g[2 * h + j])
+                new.append((1 - z) * now[j] + z * cand)
+            now = new
+            states[t][at : at + h] = now
+    e = [math.exp(sum(math.tanh(dot(s, p["att"], k)) * float(p["v"][k]) for k in range(toxicity.ATTEND))) for s in states]
+    pooled = [sum(a * s[j] for a, s in zip(e, states)) / sum(e) for j in range(2 * h)]
+    return sum(a * float(b) for a, b in zip(pooled, p["w"])) + float(p["b"][0])
+
+
+def test_network_number_by_number():
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["bad", "good", "ship", "über", "a1", "the"]) for _ in range(n)) for n in (1, 3, 16, 17, 40)]
+    w = toxicity.Words(pa.array(texts))
+    net = toxicity.Net(np.unique(w.hashes)[:4])
+    first, doc = w.windows()
+    cell, mask = w.cells(first, doc)
+    _, x = net.inputs(w)
+    got = net.forward(x, cell, mask)[0]
+    for k in range(len(first)):
+        own = cell[:, k][mask[:, k]].tolist()
+        assert got[k] == pytest.approx(scalar_logit(net.p, own, x), abs=1e-4)
+    n = [len(t.split()) for t in texts]
+    assert sorted(set(doc.tolist())) == list(range(len(texts)))
+    covered = {(int(d), int(f) - int(w.bounds[d]) + j) for f, d in zip(first, doc) for j in range(toxicity.SPAN) if f + j < w.bounds[d + 1]}
+    assert covered == {(d, i) for d, m in enumerate(n) for i in range(m)}  # every word lies in a window
+
+
+def test_sketch_is_the_smallest_hashes(spark):
+    """All 256 hashes of a sketch, worked out again with the xxhash library."""
+    import struct
+
+    import xxhash
+
+    def chained(numbers):
+        seed = 42
+        for x in numbers:
+            seed = xxhash.xxh64(struct.pack("<Q", x), seed=seed).intdigest()
+        return seed
+
+    rng = random.Random(17)
+    texts = [" ".join(f"W{rng.randrange(900)}é" for _ in range(n)) for n in (0, 1, 4, 5, 6, 200, 700, 3000)] + ["same " * 50, None, " \t\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in fingerprints.with_sketch(df, "text", "sketch").collect():
+        own = [xxhash.xxh64(x.lower().encode(), seed=42).intdigest() for x in words(texts[r.doc_id])]
+        shingles = [own[i : i + 5] for i in range(len(own) - 4)] or ([own] if own else [])
+        assert r.sketch == sorted({chained(s) >> 16 for s in shingles})[:256]
