@@ -155,8 +155,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
         tail = [pa.array(kept, pa.string())] if digest else [pa.array(ranges, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string())]
         return pa.table([*head, n, pa.array(lost, pa.int64()), *tail], names=names)
 
-    # A hash that a third of all documents hold is one row for each batch, and rows are never gathered:
-    # both windows below keep a running number or total only.
+    # A hash that a third of all documents hold is one row for each batch.  The first window below holds
+    # such a hash's rows together, and spills; the second keeps a running number.
     by_hash = Window.partitionBy("a")
     anchors = rows.groupBy("_batch").applyInArrow(ask_anchors, "a bigint, n int, _batch bigint")
     anchors = anchors.withColumn("n", F.sum("n").over(by_hash)).where("n > 1").select("a", F.lit(0).cast("bigint").alias("b"), "_batch", F.lit(1).alias("phase"))

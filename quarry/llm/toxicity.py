@@ -364,7 +364,10 @@ def fit(docs: DataFrame, labels: DataFrame, training) -> Net | float:
 
 
 def score(docs: DataFrame, net: Net | float) -> DataFrame:
-    """The input columns plus `score`, from the text alone; 0 for a text without words."""
+    """The input columns plus `score`, from the text alone; 0 for a text without words, and for a null one.
+
+    An input column `score` is replaced; rows that repeat stay rows; an empty table gives none.
+    """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score"]
     base, at = docs.select(*kept), kept.index("text")

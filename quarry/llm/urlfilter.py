@@ -60,7 +60,7 @@ def judge(captures: DataFrame, entries: DataFrame, slice_days: int = SLICE_DAYS)
     than any host, a longer host suffix than a shorter one); `blocked` says whether it blocks.  A
     capture without an active entry, without a host (null or malformed url) or without a fetch time
     is not blocked and has null entry columns.  Repeated captures stay repeated; an empty list
-    blocks nothing.
+    blocks nothing.  Other columns of captures are left out, so none can clash.
     """
     span = captures.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")).first()
     slot = lambda t: F.floor(F.unix_timestamp(t) / (slice_days * _DAY))

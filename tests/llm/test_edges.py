@@ -169,3 +169,36 @@ def test_every_language_is_learned(spark):
         model = langid.fit(table, F.lit(True))
         assert sorted(model.langs) == ["cs", "en"]
         assert model.predict(["kůň a slunce", "the crew sails"])[0] == ["cs", "en"]
+
+
+def test_urls_with_clashing_columns(spark):
+    t = F.expr("make_timestamp(2021, 1, 5, 0, 0, 0)")
+    caps = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (2, "http://b.org")], "page_id bigint, url string").withColumn("fetched_at", t)
+    entries = spark.createDataFrame([("a.org", "block")], "key string, action string").withColumn("dated", F.expr("make_timestamp(2021, 1, 1, 0, 0, 0)"))
+    plain = sorted(map(str, urlfilter.judge(caps, entries).collect()))
+    clash = caps
+    for c in ("key", "slot", "host", "path", "action", "since", "until", "times", "e", "blocked", "entry"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    assert sorted(map(str, urlfilter.judge(clash, entries.withColumn("slot", F.lit(1)).withColumn("page_id", F.lit(9))).collect())) == plain
+
+
+def test_equal_fractions(spark):
+    """Sources of one size, whose fractional ranks tie row by row, are dealt alike whatever the layout."""
+    rows = [(k, "same text", f"s{k % 4}") for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(map(tuple, shards.interleave(df).collect()))
+    assert got == sorted(map(tuple, shards.interleave(df.repartition(5)).collect()))
+    for s in range(16):
+        mine = [r for r in got if r[4] == s]
+        assert sorted(r[5] for r in mine) == list(range(10))
+        assert {src: sum(rows[r[0]][2] == src for r in mine) for src in ("s0", "s1", "s2", "s3")}.keys() == {"s0", "s1", "s2", "s3"}
+
+
+def test_ties_of_the_samples(spark):
+    """Rows of one id and text, more than any sample, and ids null: the models come about, the same each time."""
+    docs = spark.createDataFrame([(None if k % 3 else k % 5, "one same text here", "en") for k in range(900)] + [(1000 + k, "ein anderer satz", "de") for k in range(300)], "doc_id bigint, text string, lang string").repartition(4)
+    one, two = (langid.fit(docs.repartition(n), F.lit(True)) for n in (2, 5))
+    assert one.langs == two.langs and (one.weights == two.weights).all()
+    labels = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("toxic")).distinct()
+    scores = [sorted(map(tuple, toxicity.toxicity(docs.repartition(n), labels).collect()), key=str) for n in (2, 5)]
+    assert scores[0] == scores[1] and len(scores[0]) == 1200
