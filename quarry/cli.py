@@ -9,7 +9,7 @@ import sys
 from pathlib import Path
 
 from quarry.functions.classify import CATEGORIES
-from quarry.index import Index, NotIndexed
+from quarry.index import Busy, Index, NotIndexed
 from quarry.settings import ConfigError, as_toml, load
 
 METRICS = {"lexical": "bm25", "vector": "cosine"}
@@ -132,7 +132,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except NotIndexed as e:
         print(e, file=sys.stderr)
         return 2
-    except (ConfigError, OSError, ValueError) as e:
+    except (Busy, ConfigError, OSError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1
 

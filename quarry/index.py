@@ -64,19 +64,25 @@ class Index:
         key = f"{Path(self.root).name}-{hashlib.blake2b(self.root.encode(), digest_size=4).hexdigest()}"
         self.home = Path(self.settings.data_dir, key) if self.settings.data_dir else Path(self.root, ".quarry")
 
+        static = self.settings.embed_backend == "static"
+        #: Width of a looked-up encoder (`lookup-64`), whose table is learned with the first version; 0 for another.
+        self.dims = int(self.settings.embed_model.removeprefix("lookup-")) if static and self.settings.embed_model.startswith("lookup-") else 0
         self.prefixes = prefixes(self.settings.embed_model, self.settings.embed_query_prefix, self.settings.embed_doc_prefix)
 
-    def _encoded(self, items: DataFrame) -> DataFrame:
+    def _encoded(self, items: DataFrame, tokens: DataFrame | None) -> DataFrame:
+        """`vec` of the items' `text`; `tokens` is the version's own table, where the model looks words up."""
         s = self.settings
+        if tokens is not None:
+            return vectors.pooled(items, "text", tokens, self.dims)
         return encoded(items, "text", s.embed_backend, s.embed_endpoint, s.embed_model, s.embed_api_key)
 
-    def _canary(self) -> list[list[float]]:
+    def _canary(self, tokens: DataFrame | None) -> list[list[float]]:
         items = self.spark.createDataFrame(list(enumerate(CANARY)), "i int, text string")
-        return [list(map(float, r.vec)) for r in sorted(self._encoded(items).collect(), key=lambda r: r.i)]
+        return [list(map(float, r.vec)) for r in sorted(self._encoded(items, tokens).collect(), key=lambda r: r.i)]
 
-    def _drift(self) -> str:
+    def _drift(self, tokens: DataFrame | None) -> str:
         """How the encoder's vectors of the fixed texts stand to the stored ones, with a warning if they moved."""
-        state = vectors.drift(self.meta()["canary"], self._canary())
+        state = vectors.drift(self.meta()["canary"], self._canary(tokens))
         if state != "same":
             warnings.warn(f"the encoder's vectors moved from the stored ones: {'the vector tier is left out, index again' if state == 'stale' else 'index again soon'}", stacklevel=3)
         return state
@@ -210,7 +216,11 @@ class Index:
         if s.distill_docs:
             own = F.col("lang").isin(list(s.doc_languages)) & F.col("symbol_id").isNotNull()
             body = F.when(own, ch.embed_text(F.col("path"), body, F.col("kind"), F.col("comments"))).otherwise(body)
-        made = self._encoded(need.select("chunk_id", F.concat(F.lit(self.prefixes[1]), body).alias("text"))).select("chunk_id", "vec")
+        tokens = None
+        if self.dims:
+            (self.table("token", old) if old else vectors.learned(stored, "text", self.dims)).write.parquet(str(out / "token"))
+            tokens = self.spark.read.parquet(str(out / "token"))
+        made = self._encoded(need.select("chunk_id", F.concat(F.lit(self.prefixes[1]), body).alias("text")), tokens).select("chunk_id", "vec")
         (have.unionByName(made) if old else made).write.parquet(str(out / "vector"))
         buckets = self._keywords(stored, old, out)
         now, prior = files.select("path"), known["file"].select("path") if old else files.select("path").limit(0)
@@ -218,7 +228,7 @@ class Index:
         lost = prior.join(gone.select("path"), "path", "left_semi").join(now, "path", "left_anti").count() if old else 0
         for part in ("walked", "fresh", "states"):
             shutil.rmtree(out / part, ignore_errors=True)
-        canary = old.get("canary") or (self._canary() if s.embed_backend != "none" else [])
+        canary = old.get("canary") or (self._canary(tokens) if s.embed_backend != "none" else [])
         self._publish(before, {"version": version, "identity": identity(s), "scanned": time.time(), "buckets": buckets, "canary": canary})
         self._tidy(version, before.get("version"))  # readers of the version before keep theirs
         return {"added": both.n - both.changed, "changed": both.changed, "deleted": lost, "elapsed_s": round(time.time() - began, 3)}
@@ -306,8 +316,9 @@ class Index:
         ids = held.select("chunk_id")
         exact = symbols.exact(q, self.table("symbol", m).drop("path"), chunk).join(ids, "chunk_id", "left_semi").withColumn("score", F.lit(1.0))
         words = postings.search(q, self._keyword_index(m), s.candidate_depth, ids)
-        dense = s.embed_backend != "none" and self._drift() != "stale"
-        near = dense and vectors.nearest(self._encoded(q.withColumn("text", F.concat(F.lit(self.prefixes[0]), "query"))), self.table("vector", m).join(ids, "chunk_id", "left_semi"), s.candidate_depth)
+        tokens = self.table("token", m) if self.dims else None
+        dense = s.embed_backend != "none" and self._drift(tokens) != "stale"
+        near = dense and vectors.nearest(self._encoded(q.withColumn("text", F.concat(F.lit(self.prefixes[0]), "query")), tokens), self.table("vector", m).join(ids, "chunk_id", "left_semi"), s.candidate_depth)
         tiers = fusion.ranked(exact, "exact").unionByName(fusion.ranked(words, "lexical"))
         if dense:
             tiers = tiers.unionByName(fusion.ranked(near, "vector"))

@@ -238,6 +238,18 @@ def test_canary(spark, root):
         assert "vector" not in index.search(q, 1).first().tiers
 
 
+def test_learned_encoder(spark, root):
+    index = Index(spark, str(root), Settings(refresh_mode="manual", embed_model="lookup-8"))
+    index.refresh()
+    before = sorted(map(str, index.table("token").collect()))
+    (root / "new.py").write_text("def fresh():\n    return 1\n" + "value = 'unheard of'\n" * 9)
+    index.refresh()
+    assert sorted(map(str, index.table("token").collect())) == before  # one table, one space
+    assert {len(r.vec) for r in index.table("vector").collect()} == {8} and index.table("vector").count() == index.table("chunk").count()
+    q = spark.createDataFrame([(0, "seconds before the next attempt")], "query_id int, query string")
+    assert "vector" in index.search(q, 1).first().tiers
+
+
 def test_distilled_documentation(spark, root):
     plain, short = (Index(spark, str(root), Settings(refresh_mode="manual", distill_docs=d, data_dir=str(root / f".quarry-{d}"))) for d in (False, True))
     plain.refresh(), short.refresh()
