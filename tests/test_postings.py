@@ -98,3 +98,33 @@ def test_empty_index(spark, asked, tmp_path):
     none = spark.createDataFrame([], "chunk_id bigint, text string")
     index = postings.build(none, str(tmp_path / "k"))
     assert postings.search(asked, index).collect() == []
+
+
+@pytest.mark.parametrize("blocks", [dict(chunks=97), dict(chunks=5000)])
+def test_blocks_find_what_bm25_finds(corpus, asked, blocks, monkeypatch):
+    monkeypatch.setattr(lexical, "QUERIES", 7)
+    index = lexical.prepared(corpus)
+    for k in (1, 10, 5000):
+        want = lexical.top(lexical.bm25(asked, corpus).withColumn("score", F.round("score", 9)), k)
+        assert best(lexical.best(asked, index, k, 9, **blocks)) == best(want)
+
+
+def test_no_pair_of_query_and_chunk_is_shuffled(corpus, asked):
+    """Rows that leave the exchanges: a posting of a query's word at most once, and each cell's best."""
+    found = lexical.best(asked, lexical.prepared(corpus), 3, 9)
+    found._jdf.collectAsList()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", plan)
+
+
+def test_postings_fold_words_and_are_not_shuffled(spark):
+    texts = ["Été ETE été x", "", None, "ß İx ǅ 12", "été"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")
+    have = lexical.postings(df)
+    assert "Exchange" not in have._jdf.queryExecution().executedPlan().toString()
+    words = df.select("chunk_id", F.posexplode(lexical.tokens(F.col("text"))).alias("pos", "term")).collect()
+    want = {}
+    for r in words:
+        want.setdefault((r.term, r.chunk_id), []).append(r.pos)
+    assert {(r.term, r.chunk_id): r.positions for r in have.collect()} == want
+    assert {r.chunk_id: r.dl for r in lexical.lengths(df).collect()} == {i: sum(x.chunk_id == i for x in words) for i in range(5)}
