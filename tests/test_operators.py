@@ -244,3 +244,22 @@ def test_learned_table(spark):
     right = sum(r.query_id % 4 == r.chunk_id % 4 for r in near) / len(near)
     assert right > 0.95
     assert vectors.learned(chunks_.limit(0), dims=4).count() == 0
+
+
+def test_reachable_rows_are_few_and_enough(spark):
+    rng = random.Random(4)
+    rows = [(q, i, f"p{rng.randrange(40)}", rng.choice(["", "a", "b", *"cdefghijk"]), rng.choice([0.25, 0.5, 1.0, 0.0, 0.9])) for q in range(30) for i in rng.sample(range(400), rng.randrange(1, 200))]
+    c = spark.createDataFrame(rows, "query_id int, chunk_id int, path string, text string, score double").cache()
+    few = rerank.reachable(rerank.digested(c), 3).cache()
+    assert few.count() < c.count() / 2 and few.columns == c.columns
+    chosen = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.effective) for r in rerank.saturate(df, 3).collect())
+    assert chosen(few) == chosen(c)
+
+
+def test_words_of_few_queries_are_broadcast(spark):
+    """A batch of queries is as small as its table, so a search does not deal out every posting."""
+    from quarry.plans import proxies as px
+
+    found = lexical.best(px.asked(spark, "/root/testdata/sf0.01"), lexical.prepared(px.chunks(spark, "/root/testdata/sf0.01")))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert "embedding" not in plan.toString()
