@@ -263,3 +263,14 @@ def test_words_of_few_queries_are_broadcast(spark):
     found = lexical.best(px.asked(spark, "/root/testdata/sf0.01"), lexical.prepared(px.chunks(spark, "/root/testdata/sf0.01")))
     plan = found._jdf.queryExecution().optimizedPlan()
     assert "embedding" not in plan.toString()
+
+
+def test_lookup_sends_a_row_once_for_a_block(spark):
+    """No exchange carries a row of the table for each time that a word occurs."""
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "token string, row array<double>")
+    df = spark.createDataFrame([(i, "a b " * 300) for i in range(50)], "chunk_id int, t string")
+    for texts in (7, 100):
+        made = vectors.pooled(df, "t", table, 2, 6, texts=texts)
+        assert {tuple(r.vec) for r in made.collect()} == {(round(0.5**0.5, 6),) * 2}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
