@@ -274,3 +274,16 @@ def test_lookup_sends_a_row_once_for_a_block(spark):
         assert {tuple(r.vec) for r in made.collect()} == {(round(0.5**0.5, 6),) * 2}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+
+
+def test_texts_of_candidates_stay_out_of_the_windows(spark):
+    """Judged candidates are boosted as those with texts are, and no text is dealt out by query."""
+    held = spark.createDataFrame([(i, f"s/{n}.py", t) for i, (n, t) in enumerate([("retry", "class Retry(x)"), ("a", "class Retry\n"), ("retry", "Retry"), ("b", ""), ("retries", "x\nclass Retry:"), ("retry_x", "class Retry")])], "chunk_id bigint, path string, text string")
+    q = spark.createDataFrame([(0, "Retry", True), (1, "how does retry work", False)], "query_id bigint, query string, is_symbol boolean")
+    c = spark.createDataFrame([(0, 0, 1.0), (0, 2, 0.5), (0, 3, 0.25), (1, 1, 1.0), (1, 2, 0.5)], "query_id bigint, chunk_id bigint, score double")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r.path, r.score) for r in df.collect())
+    judged = rerank.judged(c, q, held)
+    plain = rerank.boosts(c.join(held, "chunk_id").select("query_id", "chunk_id", "path", "text", "score"), q, held)
+    made = rerank.boosts(judged, q, held)
+    assert rows(made) == rows(plain) and len(rows(made)) == 6
+    assert {r.text for r in made.where("chunk_id = 3").collect()} == {""} and {len(r.text) for r in made.where("chunk_id <> 3").collect()} == {64}
