@@ -6,6 +6,9 @@ of W - V + 1 words that starts, in both, at a position whose residue is in D.  O
 anchors, are hashed for the search; a window is compared as a whole only if it holds an anchor that
 occurs more than once in the corpus.
 
+A text that an earlier row has in full loses all of its windows and is the first owner of none, so it
+neither asks for anchors nor for windows.
+
 Texts go into batches of a bounded size once.  What a batch asks is a table of hashes, a row for each
 distinct one, which Spark groups by hash; the rows that are answered go back to their batches.
 """
@@ -32,10 +35,14 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _LAST = np.int64(np.iinfo(np.int64).max)
 
 
+def _same(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 class _Batch:
-    """The words of one batch in the order of (doc_id, tie), and its anchors."""
+    """The words of one batch in the order of (doc_id, tie), and its anchors; `told` names the texts that an earlier batch row has."""
 
-    def __init__(self, t: pa.Table, window: int) -> None:
+    def __init__(self, t: pa.Table, window: int, told: pa.Table) -> None:
         self.table = t = t.sort_by([("doc_id", "ascending"), ("_tie", "ascending")])
         self.window = window
         one, two, self.raw, bounds = [], [], [], [np.zeros(1, np.int64)]
@@ -53,9 +60,16 @@ class _Batch:
         self.pos = np.arange(n) - np.repeat(self.bounds[:-1], lengths)
         self.left = np.repeat(lengths, lengths) - self.pos  # words from here to the end of the document
         self.row = np.repeat(np.arange(len(lengths)), lengths)
+        earlier = set(_told(told, 0, "same").to_pylist())
+        copy = np.zeros(len(lengths), bool)
+        for r, data in enumerate(self.raw):
+            same = _same(data)
+            copy[r] = same in earlier
+            earlier.add(same)
+        self.copy = np.repeat(copy & (lengths >= window), lengths)
         # Anchors only of documents that have a window at all.
         size = window - PERIOD + 1
-        at = np.flatnonzero(_IN_COVER[self.pos % PERIOD] & (self.left >= size) & (self.pos + self.left >= window))
+        at = np.flatnonzero(_IN_COVER[self.pos % PERIOD] & (self.left >= size) & (self.pos + self.left >= window) & ~self.copy)
         self.anchor_at = at
         hashes = window_hashes(self.one, size)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
         self.anchors, self.anchor_of, self.count = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -66,7 +80,7 @@ class _Batch:
         mark = np.zeros(len(self.one) + PERIOD + 1, np.int64)
         mark[self.anchor_at[again[self.anchor_of]] + 1] = 1
         have = np.cumsum(mark)
-        i = np.flatnonzero(self.left >= self.window)
+        i = np.flatnonzero((self.left >= self.window) & ~self.copy)
         self.at = i = i[have[i + PERIOD] > have[i]]
         one = window_hashes(self.one, self.window)[i] if len(i) else np.zeros(0, np.uint64)
         two = window_hashes(self.two, self.window, 1)[i] if len(i) else np.zeros(0, np.uint64)
@@ -88,12 +102,11 @@ class _Batch:
         step = np.zeros(len(self.one) + 1, np.int64)
         step[again] += 1
         step[again + self.window] -= 1
-        return np.cumsum(step)[:-1] > 0
+        return (np.cumsum(step)[:-1] > 0) | self.copy
 
 
-def _told(t: pa.Table, phase: int) -> tuple[np.ndarray, np.ndarray]:
-    own = t.filter(pc.equal(t["phase"], phase))
-    return own["a"].to_numpy(), own["b"].to_numpy()
+def _told(t: pa.Table, phase: int, column: str) -> pa.ChunkedArray:
+    return t.filter(pc.equal(t["phase"], phase))[column]
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -114,15 +127,25 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
     docs = docs.select(*columns).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
     tie = F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
     rows, _, parts = batched(docs.withColumn("_tie", tie), batch_bytes)
-    rows = rows.withColumn("_tie", F.concat(*[F.lpad(F.hex(F.col(f"_tie.{c}")), 16, "0") for c in ("text", "row")]))
-
-    def ask_anchors(key: tuple, t: pa.Table) -> pa.Table:
-        b = _Batch(t, window)
+    # Sixteen bytes, ordered as the two numbers without a sign.
+    rows = rows.withColumn("_tie", F.unhex(F.concat(*[F.lpad(F.hex(F.col(f"_tie.{c}")), 16, "0") for c in ("text", "row")])))
+
+    def ask_texts(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("_tie", "ascending")])
+        same = [_same(raw[a:b].tobytes()) for _, raw, off in text_chunks(t["text"]) for a, b in zip(off, off[1:])]
+        first: dict[bytes, int] = {}
+        for r, x in enumerate(same):
+            first.setdefault(x, r)
+        row = pa.array(list(first.values()), pa.int64())
+        return pa.table([pa.array(list(first), pa.binary()), t["doc_id"].fill_null(_LAST).take(row), t["doc_id"].is_null().take(row), t["_tie"].take(row), pa.array(np.full(len(row), key[0].as_py()))], names=["same", "doc_id", "none", "_tie", "_batch"])
+
+    def ask_anchors(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
+        b = _Batch(t, window, told)
         return pa.table([pa.array(b.anchors), pa.array(b.count.astype(np.int32)), pa.array(np.full(len(b.anchors), key[0].as_py()))], names=["a", "n", "_batch"])
 
     def ask_windows(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        b = _Batch(t, window)
-        b.candidates(told["a"].to_numpy())
+        b = _Batch(t, window, told)
+        b.candidates(_told(told, 1, "a").to_numpy())
         row = pa.array(b.row[b.first])
         return pa.table([pa.array(b.w1), pa.array(b.w2), b.table["doc_id"].fill_null(_LAST).take(row), b.table["doc_id"].is_null().take(row), b.table["_tie"].take(row), pa.array(np.full(len(row), key[0].as_py()))], names=["a", "b", "doc_id", "none", "_tie", "_batch"])
 
@@ -134,9 +157,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
         schema = T.StructType([*rows.select(*columns).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans), T.StructField("kept", T.StringType())])
 
     def cut(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
-        b = _Batch(t, window)
-        b.candidates(_told(told, 1)[0])
-        gone = b.removed(_told(told, 2))
+        b = _Batch(t, window, told)
+        b.candidates(_told(told, 1, "a").to_numpy())
+        gone = b.removed((_told(told, 2, "a").to_numpy(), _told(told, 2, "b").to_numpy()))
         lost = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), b.bounds[:-1]) * (np.diff(b.bounds) > 0) if len(b.bounds) > 1 else np.zeros(0, np.int64)
         kept, ranges = [], []
         for r, data in enumerate(b.raw):
@@ -155,17 +178,21 @@ def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, batch_byt
         tail = [pa.array(kept, pa.string())] if digest else [pa.array(ranges, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string())]
         return pa.table([*head, n, pa.array(lost, pa.int64()), *tail], names=names)
 
-    # A hash that a third of all documents hold is one row for each batch.  The first window below holds
-    # such a hash's rows together, and spills; the second keeps a running number.
+    # A hash or text that a third of all documents hold is one row for each batch.  The first window over
+    # anchors holds such a hash's rows together, and spills; the others keep a running number.
     by_hash = Window.partitionBy("a")
-    anchors = rows.groupBy("_batch").applyInArrow(ask_anchors, "a bigint, n int, _batch bigint")
-    anchors = anchors.withColumn("n", F.sum("n").over(by_hash)).where("n > 1").select("a", F.lit(0).cast("bigint").alias("b"), "_batch", F.lit(1).alias("phase"))
-    told = anchors.repartition(parts, "_batch")
-    asked = rows.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(ask_windows, "a bigint, b bigint, doc_id bigint, none boolean, _tie string, _batch bigint")
-    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("none", "doc_id", "_tie"))
-    windows = asked.withColumn("nth", first).where("nth > 1").select("a", "b", "_batch", F.lit(2).alias("phase"))
-    told = anchors.unionByName(windows).repartition(parts, "_batch")
-    return rows.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(cut, schema)
+    no = {"a": F.lit(None).cast("bigint"), "b": F.lit(None).cast("bigint"), "same": F.lit(None).cast("binary")}
+    tell = lambda df, phase, **has: df.select(*[(has[c] if c in has else no[c]).alias(c) for c in no], "_batch", F.lit(phase).alias("phase"))
+    hear = lambda df: rows.groupBy("_batch").cogroup(df.repartition(parts, "_batch").groupBy("_batch"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("none", "doc_id", "_tie"))
+    owned = "doc_id bigint, none boolean, _tie binary, _batch bigint"
+    texts = rows.groupBy("_batch").applyInArrow(ask_texts, f"same binary, {owned}")
+    told = tell(texts.withColumn("nth", nth("same")).where("nth > 1"), 0, same=F.col("same"))
+    anchors = hear(told).applyInArrow(ask_anchors, "a bigint, n int, _batch bigint")
+    told = told.unionByName(tell(anchors.withColumn("n", F.sum("n").over(by_hash)).where("n > 1"), 1, a=F.col("a")))
+    windows = hear(told).applyInArrow(ask_windows, f"a bigint, b bigint, {owned}")
+    told = told.unionByName(tell(windows.withColumn("nth", nth("a", "b")).where("nth > 1"), 2, a=F.col("a"), b=F.col("b")))
+    return hear(told).applyInArrow(cut, schema)
 
 
 #: DuckDB SQL of `dedup(digest=True)`.

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,25 @@ def test_substrings(spark, corpus):
         assert hashlib.sha256(r.kept.encode()).hexdigest() == want[r.doc_id][2] and sum(s["last"] - s["first"] + 1 for s in r.removed) == r.n_removed
 
 
+def test_copies_of_a_text_ask_for_no_windows(spark):
+    """A text that an earlier row has in full loses all its words, and sends neither anchors nor windows."""
+    rng = random.Random(8)
+    make = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(n))
+    one, two, short = make(200), make(150), make(19)
+    rows = [(i, one) for i in (5, 3, 3, None, 9)] + [(i, two) for i in (7, 1)] + [(i, short) for i in (2, 4)] + [(8, f"{make(30)} {one}"), (0, make(90))]
+    for size in (300, 1 << 22):
+        got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_words, r.n_removed) for r in substrings.dedup(frame(spark, rows), digest=True, batch_bytes=size).collect())
+        assert got == [(0, 90, 0), (1, 150, 0), (2, 19, 0), (3, 200, 0), (3, 200, 200), (4, 19, 0), (5, 200, 200), (7, 150, 150), (8, 230, 200), (9, 200, 200), (99, 200, 200)]
+    t = pa.table({"doc_id": [1, 2, 3], "_tie": [b"a", b"b", b"c"], "text": [one, one, two]})
+    none = pa.table({"phase": pa.array([], pa.int32()), "same": pa.array([], pa.binary())})
+    told = pa.table({"phase": pa.array([0], pa.int32()), "same": pa.array([substrings._same(two.encode())], pa.binary())})
+    for heard, texts in ((none, (one, two)), (told, (one,))):
+        b = substrings._Batch(t, 20, heard)
+        assert set(b.row[b.anchor_at]) == ({0, 2} if len(texts) == 2 else {0})
+        b.candidates(b.anchors)
+        assert set(b.row[b.at]) == set(b.row[b.anchor_at])
+
+
 def brute_components(rows, size, num, den):
     sets = {}
     for i, t in rows:
