@@ -128,3 +128,23 @@ def test_postings_fold_words_and_are_not_shuffled(spark):
         want.setdefault((r.term, r.chunk_id), []).append(r.pos)
     assert {(r.term, r.chunk_id): r.positions for r in have.collect()} == want
     assert {r.chunk_id: r.dl for r in lexical.lengths(df).collect()} == {i: sum(x.chunk_id == i for x in words) for i in range(5)}
+
+
+def test_best_reads_a_text_once(spark):
+    """Postings, lengths and counts come from one pass over the texts; no place is null, and runs still have theirs."""
+    texts = ["new_york is big", "York new, new york", "", None, "ÉCOLE new", "--- new_york new_york"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")
+    seen = []
+
+    def keep(once):
+        seen.append((once._jdf.queryExecution().executedPlan().toString().count("MapInArrow"), {(r.chunk_id, r.term): (r.tf, r.positions) for r in once.collect()}))
+        return once
+
+    for query, places in (("new_york ecole", True), ("ecole york", False)):
+        asked = spark.createDataFrame([(1, query)], "query_id bigint, query string")
+        got = {r.chunk_id: round(r.score, 9) for r in lexical.best(asked, lexical.prepared(df), 9, 9, keep=keep).collect()}
+        assert got == {r.chunk_id: round(r.score, 9) for r in lexical.bm25(asked, df).collect() if r.score > 0}
+        scans, rows = seen[-1]
+        assert scans == 1 and all(p is not None for _, p in rows.values())
+        assert {c: n for (c, t), (n, _) in rows.items() if t is None} == {0: 4, 1: 4, 2: 0, 3: 0, 4: 2, 5: 4}
+        assert rows[1, "york"] == (2, [0, 3] if places else []) and rows[4, "ecole"] == (1, [])
