@@ -287,3 +287,20 @@ def test_texts_of_candidates_stay_out_of_the_windows(spark):
     made = rerank.boosts(judged, q, held)
     assert rows(made) == rows(plain) and len(rows(made)) == 6
     assert {r.text for r in made.where("chunk_id = 3").collect()} == {""} and {len(r.text) for r in made.where("chunk_id <> 3").collect()} == {64}
+
+
+def test_word_queries_of_a_whole_search_carry_no_join(spark, monkeypatch):
+    """Their words are then known to be few and are sent to the postings, not the postings to them."""
+
+    from quarry.plans import queries as plans
+
+    class Asked(Exception):
+        pass
+
+    def best(queries, *_, **__):
+        raise Asked(queries._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(lexical, "best", best)
+    with pytest.raises(Asked) as asked:
+        plans.unranked_search(spark, "/root/testdata/sf0.001")
+    assert "Join" not in str(asked.value)
