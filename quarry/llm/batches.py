@@ -29,14 +29,15 @@ ASK = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("cell", pa.bina
 ASK_DDL = "bucket bigint, batch bigint, cell binary"
 
 
-def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES, by: Column | None = None) -> tuple[DataFrame, int, int]:
+def batched(docs: DataFrame, batch_bytes: int = BATCH_BYTES, by: Column | None = None, size: int | None = None) -> tuple[DataFrame, int, int]:
     """(rows with a `_batch` column laid out by it, batches, partitions).
 
     A row's batch is drawn by the hash `by`, or else from its place in the input: then rows of one
     id, null ids and equal texts are spread, and a task that reads a table again draws the same.
+    `size` is that of all texts if it is known.
     """
     small_batches(docs.sparkSession)
-    _, size = text_bytes(docs)
+    size = text_bytes(docs)[1] if size is None else size
     n = max(1, -(-size // batch_bytes))
     parts = min(n, MOST_PARTITIONS)
     batch = F.pmod(F.xxhash64(F.monotonically_increasing_id()) if by is None else by, F.lit(n)).cast("bigint")

@@ -10,25 +10,30 @@ A symbol is scored at the longest suffix of what came before that is a node.
 The tree is never in one place.  It grows with the corpus: batches of texts send the contexts and
 symbols that they hold, with their training counts, to the bucket of the context's hash, where the
 counts meet, the test is made, and the counts of the nodes go back.  Length by length, only contexts
-that extend one seen often enough are sent.
+that extend one seen often enough are sent.  With a word's count comes its number, words of high
+counts first, and all later cells name words by their numbers: these are small, so cells, which
+travel compressed, hold few bytes for each, and no two words share one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrowtext import LOWER, SPACE, mix, split_words, text_chunks, word_hashes
+from quarry.llm.arrowtext import LOWER, SPACE, mix, small_batches, split_words, text_chunks, word_hashes
 from quarry.llm.batches import ASK, answered, asks, batched, by_bucket
 from quarry.llm.langid import held_out
+from quarry.llm.tables import text_bytes
 
 #: Symbols of the longest context.
 ORDER = 2
 #: Training occurrences that a context has at least.
 LEAST = 2
-#: Bytes of the hash that tells the symbols after one context apart.
+#: Bytes of a word's number.
 APART = 5
 #: A node's likelihood gain over its parent, in nats for each next symbol it has been seen with.
 GAIN = 1.0
@@ -39,9 +44,11 @@ PARTS = 8
 #: Batches whose hashes one bucket takes, on average.
 BATCHES_PER_BUCKET = 2
 #: UTF-8 bytes of text in a batch, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 _END = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD1342543DE82EF95)
+_HALF = np.uint64(32)
+_ZSTD = pa.Codec("zstd", compression_level=1)
 _JUDGED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -56,13 +63,49 @@ def _whole(data: bytes, at: int, n: int, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _packed(data: bytes) -> bytes:
+    """The bytes compressed, after their number."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts are compressed one by one; a null text stays null."""
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        texts = b["text"].cast(pa.large_binary())
+        yield b.set_column(at, "text", pa.array([None if x is None else _packed(x) for x in texts.to_pylist()], pa.binary()))
+
+
+def _texts(packed: pa.ChunkedArray) -> pa.LargeStringArray:
+    """Texts that `_packed_texts` compressed; a null text is empty."""
+    texts = [b"" if x is None else _unpacked(x) for x in packed.to_pylist()]
+    return pa.array(texts, pa.large_binary()).view(pa.large_string())
+
+
+def _longer(context: np.ndarray, symbol: np.ndarray, length: int) -> np.ndarray:
+    """Names of the contexts of `length` that add a symbol's number to a shorter one's name.
+
+    A context of one is its word's number; of two, both numbers side by side if they fit, which is exact;
+    every other a hash.
+    """
+    with np.errstate(over="ignore"):
+        hashed = mix(context * _ODD + symbol)
+    if length > 2:
+        return hashed
+    return np.where((context | symbol) >> _HALF == 0, context << _HALF | symbol, hashed)
+
+
 class _Batch:
     """The symbols of a batch's texts, and how often its training rows have each."""
 
     def __init__(self, t: pa.Table, told: pa.Table | None = None) -> None:
         self.table = t
         hashes, bounds = [], [np.zeros(1, np.int64)]
-        for _, raw, off in text_chunks(t["text"]):
+        for _, raw, off in text_chunks(_texts(t["text"])):
             raw = LOWER[raw]
             starts, ends, edge = split_words(raw, off, SPACE)
             hashes.append(np.insert(word_hashes(raw, starts, ends), edge[1:], _END))
@@ -81,7 +124,7 @@ class _Batch:
             if p < 0:
                 self.n, self.v = n, v
             else:
-                self._told[p, k] = c
+                self._told[p, k] = _unpacked(c)
 
     def word_runs(self, buckets: int) -> tuple:
         return by_bucket(self.words, buckets)
@@ -91,18 +134,21 @@ class _Batch:
 
     def climb(self, buckets: int, length: int) -> None:
         """Everything known of contexts up to `length`: probabilities, and the contexts that are one longer."""
-        known = np.zeros(len(self.words), np.int64)
+        known, number = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.uint64)
         for k, a, b in zip(*self.word_runs(buckets)):
             known[a:b] = _whole(self._told[0, k], 0, b - a, 6)
-        self.known = known[self.word_of]
+            number[a:b] = _whole(self._told[0, k], 6 * (b - a), b - a, APART) * np.uint64(buckets) + np.uint64(k)
+        if len(number) and int(number.max()) >= 1 << 8 * APART:
+            raise ValueError("the corpus has more words than APART bytes can number")
+        self.known, self.number = known[self.word_of], number[self.word_of]
         self.p = (self.known + 1.0) / (self.n + self.v + 1.0)
-        ends = int(known[np.searchsorted(self.words, _END)]) if len(self.words) else 0
-        self.context = np.where(self.start, _END, np.roll(self.symbol, 1))
-        begin, seen = _END, self.known
+        end = np.searchsorted(self.words, [_END])[: len(self.words)]
+        ends, end = int(known[end].sum()), number[end]
+        self.context = np.where(self.start, end, np.roll(self.number, 1)) if len(end) else self.number
+        begin, seen = end, self.known
         for k in range(1, length + 1):
             often = np.where(self.start, ends, np.roll(seen, 1)) >= LEAST
-            self._asked(often)
-            for j, a, b in zip(*by_bucket(self.contexts, buckets)):
+            for j, a, b in zip(*self._asked(often, buckets)):
                 self._hear(self._told[k, j], a, b)
             at = np.flatnonzero(often)
             total = np.zeros(len(self.symbol), np.int64)
@@ -112,30 +158,35 @@ class _Batch:
             own = np.maximum(total[at] - DISCOUNT, 0.0)
             self.p[at[node]] = (own[node] + DISCOUNT * types[node] * self.p[at[node]]) / n[node]
             seen = total
-            with np.errstate(over="ignore"):
-                begin = mix(np.array([begin * _ODD + _END]))[0]
-                self.context = np.where(self.start, begin, mix(np.roll(self.context, 1) * _ODD + np.roll(self.symbol, 1)))
+            begin = _longer(begin, end, k + 1)
+            self.context = np.where(self.start, begin, _longer(np.roll(self.context, 1), np.roll(self.number, 1), k + 1)) if len(end) else self.number
         self.often = np.where(self.start, ends, np.roll(seen, 1)) >= LEAST
 
-    def _asked(self, often: np.ndarray) -> None:
-        """The distinct contexts of the symbols marked, and their distinct pairs with known symbols."""
+    def _asked(self, often: np.ndarray, buckets: int) -> tuple:
+        """The distinct contexts of the symbols marked, by bucket and name, and their distinct pairs with known symbols."""
         at = np.flatnonzero(often)
-        self.contexts, self.context_of = np.unique(self.context[at], return_inverse=True)
+        names, self.context_of = np.unique(self.context[at], return_inverse=True)
+        bucket = (mix(names) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.contexts, self.context_of, bucket = names[order], place[self.context_of], bucket[order]
         self.pair_at = np.flatnonzero(self.known[at] > 0)
         key = self.context_of[self.pair_at] * max(1, len(self.words)) + self.word_of[at[self.pair_at]]
         key, first, self.pair_of = np.unique(key, return_index=True, return_inverse=True)
         at = at[self.pair_at]
         self.pair_count = np.bincount(self.pair_of[self.train[at]], minlength=len(key))
         at = at[first]
-        self.low = self.symbol[at] & np.uint64((1 << 8 * APART) - 1)
+        self.low = self.number[at]
         self.code = np.minimum(np.rint(-PARTS * np.log(self.p[at])), 255).astype(np.int64)
         self.edge = np.searchsorted(key // max(1, len(self.words)), np.arange(len(self.contexts) + 1))
         self.total = np.zeros(len(key), np.int64)
         self.node_n, self.node_types = np.zeros(len(self.contexts), np.int64), np.zeros(len(self.contexts), np.int64)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return bucket[first], first, np.append(first[1:], len(bucket)) if len(first) else first
 
     def pair_runs(self, buckets: int) -> tuple:
-        self._asked(self.often)
-        return by_bucket(self.contexts, buckets)
+        return self._asked(self.often, buckets)
 
     def pair_cell(self, a: int, b: int) -> bytes:
         x, y = self.edge[a], self.edge[b]
@@ -149,18 +200,21 @@ class _Batch:
 
 
 def _counts(cells: list[bytes], _: list[int]) -> list[bytes]:
-    """Per cell: every word's training count."""
+    """Per cell: every word's training count, and its place among the bucket's words by count and hash."""
     sizes = [len(c) // 12 for c in cells]
     words = np.concatenate([_whole(c, 0, n, 8) for c, n in zip(cells, sizes)])
     count = np.concatenate([_whole(c, 8 * n, n, 4) for c, n in zip(cells, sizes)])
     key, at = np.unique(words, return_inverse=True)
-    total = np.bincount(at, weights=count, minlength=len(key)).astype(np.int64)[at]
-    return [_planes(x, 6) for x in np.split(total, np.cumsum(sizes)[:-1])]
+    total = np.bincount(at, weights=count, minlength=len(key)).astype(np.int64)
+    place = np.empty(len(key), np.int64)
+    place[np.argsort(-total, kind="stable")] = np.arange(len(key))
+    cut = np.cumsum(sizes)[:-1]
+    return [_planes(x, 6) + _planes(y, APART) for x, y in zip(np.split(total[at], cut), np.split(place[at], cut))]
 
 
 def _totals(t: pa.Table) -> pa.Table:
     """Training symbols of a bucket, and distinct ones."""
-    cells = t["cell"].to_pylist()
+    cells = [_unpacked(c) for c in t["cell"].to_pylist()]
     sizes = [len(c) // 12 for c in cells]
     words = np.concatenate([_whole(c, 0, n, 8) for c, n in zip(cells, sizes)])
     count = np.concatenate([_whole(c, 8 * n, n, 4) for c, n in zip(cells, sizes)])
@@ -200,6 +254,11 @@ def _nodes(cells: list[bytes], _: list[int]) -> list[bytes]:
     return out
 
 
+def _answer(answer: Callable[[list[bytes], list[int]], list[bytes]]) -> Callable[[list[bytes], list[int]], list[bytes]]:
+    """`answer` of compressed cells in compressed cells."""
+    return lambda cells, batches: [_packed(c) for c in answer([_unpacked(c) for c in cells], batches)]
+
+
 def score(docs: DataFrame, mod: int = 7, rest: int = 2, order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The contract's columns for every row, learning from rows whose crc32(doc_id) mod `mod` is not `rest`.
 
@@ -209,7 +268,10 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, order: int = ORDER, batc
     training rows every count is 0 and both scores are 0.  An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, batches, parts = batched(docs.withColumn("held_out", held_out(F.col("doc_id"), mod, rest)), batch_bytes)
+    small_batches(docs.sparkSession)
+    _, size = text_bytes(docs)
+    held = docs.withColumn("held_out", held_out(F.col("doc_id"), mod, rest))
+    rows, batches, parts = batched(held.mapInArrow(_packed_texts, "doc_id bigint, text binary, held_out boolean"), batch_bytes, size=size)
     buckets = -(-batches // BATCHES_PER_BUCKET)
     by_batch = rows.groupBy("_batch")
     shape = "bucket bigint, batch bigint, cell binary"
@@ -217,7 +279,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, order: int = ORDER, batc
 
     def ask_words(key: tuple, t: pa.Table) -> pa.Table:
         b = _Batch(t)
-        return asks(key[0].as_py(), b.word_runs(buckets), b.word_cell)
+        return asks(key[0].as_py(), b.word_runs(buckets), lambda x, y: _packed(b.word_cell(x, y)))
 
     def ask_pairs(length: int):
         def ask(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
@@ -225,7 +287,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, order: int = ORDER, batc
                 return ASK.empty_table()
             b = _Batch(t, told)
             b.climb(buckets, length - 1)
-            return asks(key[0].as_py(), b.pair_runs(buckets), b.pair_cell)
+            return asks(key[0].as_py(), b.pair_runs(buckets), lambda x, y: _packed(b.pair_cell(x, y)))
 
         return ask
 
@@ -240,11 +302,12 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, order: int = ORDER, batc
         return pa.table([t["doc_id"], t["held_out"], *map(pa.array, sums)], schema=_JUDGED)
 
     asked = by_batch.applyInArrow(ask_words, shape)
-    heard = answered(asked, min(parts, buckets), _counts).select(F.lit(0).alias("phase"), "bucket", "batch", "cell", *none)
+    heard = answered(asked, min(parts, buckets), _answer(_counts)).select(F.lit(0).alias("phase"), "bucket", "batch", "cell", *none)
     # Two numbers of the whole corpus, told to every batch.
     totals = asked.repartition(min(parts, buckets), "bucket").groupBy("bucket").applyInArrow(_totals, "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-    told = heard.unionByName(totals.select(F.lit(-1).alias("phase"), F.lit(-1).cast("bigint").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(batches - 1).cast("bigint"))).alias("batch"), F.lit(None).cast("binary").alias("cell"), "n", "v"))
+    # Answers are laid out by batch once; a union of what is laid out alike is too, so later steps read the same exchanges.
+    told = heard.repartition(parts, "batch").unionByName(totals.select(F.lit(-1).alias("phase"), F.lit(-1).cast("bigint").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(batches - 1).cast("bigint"))).alias("batch"), F.lit(None).cast("binary").alias("cell"), "n", "v").repartition(parts, "batch"))
     for k in range(1, order + 1):
-        asked = by_batch.cogroup(told.repartition(parts, "batch").groupBy("batch")).applyInArrow(ask_pairs(k), shape)
-        told = told.unionByName(answered(asked, min(parts, buckets), _nodes).select(F.lit(k).alias("phase"), "bucket", "batch", "cell", *none))
-    return by_batch.cogroup(told.repartition(parts, "batch").groupBy("batch")).applyInArrow(judge, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        asked = by_batch.cogroup(told.groupBy("batch")).applyInArrow(ask_pairs(k), shape)
+        told = told.unionByName(answered(asked, min(parts, buckets), _answer(_nodes)).select(F.lit(k).alias("phase"), "bucket", "batch", "cell", *none).repartition(parts, "batch"))
+    return by_batch.cogroup(told.groupBy("batch")).applyInArrow(judge, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

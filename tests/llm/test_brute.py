@@ -254,6 +254,22 @@ def test_symbols_that_nearly_collide():
         assert (suffixtree._whole(out, 12, n, 6).astype(int) == 2 * (np.arange(n) + 1)).all()
 
 
+def test_tree_sends_little(spark, corpus):
+    """An answer crosses the shuffle once, words are named by small numbers, and cells and texts are compressed."""
+    plan = suffixtree.score(frame(spark, corpus), batch_bytes=3000)._jdf.queryExecution().executedPlan().toString()
+    lines = [x.lstrip(" :+-") for x in plan.splitlines()]
+    below = [next(y for y in lines[i + 1 :] if not y.startswith("Project")) for i, x in enumerate(lines) if x.startswith("Exchange")]
+    assert any(x.startswith("Union") for x in lines) and not any(x.startswith("Union") for x in below)
+    words, count = np.sort(np.random.default_rng(3).integers(1 << 63, size=1000).astype(np.uint64)), np.arange(1000) % 7
+    for cell in suffixtree._counts([suffixtree._planes(words, 8) + suffixtree._planes(count, 4)] * 2, [0, 1]):
+        place = suffixtree._whole(cell, 6000, 1000, suffixtree.APART).astype(int)
+        assert sorted(place) == list(range(1000)) and (np.diff(count[np.argsort(place)]) <= 0).all()
+    texts = [None, "", "\u00e9 \U0001F600", "word " * 1000]
+    rows = pa.record_batch({"doc_id": pa.array(range(4)), "text": pa.array(texts)})
+    packed = pa.Table.from_batches(suffixtree._packed_texts([rows]))
+    assert suffixtree._texts(packed["text"]).to_pylist() == [x or "" for x in texts] and packed["text"].nbytes < 200
+
+
 def test_tree_is_a_distribution():
     rng = random.Random(11)
     train = [[*(rng.choice(["the", "then", "hen", "ab"]) for _ in range(30)), None] for _ in range(40)]
