@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -304,3 +305,16 @@ def test_word_queries_of_a_whole_search_carry_no_join(spark, monkeypatch):
     with pytest.raises(Asked) as asked:
         plans.unranked_search(spark, "/root/testdata/sf0.001")
     assert "Join" not in str(asked.value)
+
+
+def test_runs_of_words(spark):
+    texts = ["a b c d", "  b\tc\x0bd\n", None, "", "caf\u00e9 b \u00a0c d e", "x" * 5000 + " b c d", "bc d", "d c b"]
+    rows = spark.createDataFrame([*enumerate(texts)], "key bigint, text string").coalesce(1)
+    got = {}
+    for r in rows.mapInArrow(evaluate.runs(3), "key bigint, h bigint").collect():
+        got.setdefault(r.key, []).append(r.h)
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    want = {k: [tuple(w[i : i + 3]) for i in range(len(w) - 2)] for k, w in enumerate(split) if len(w) > 2}
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    pairs = {(h, w) for k in want for h, w in zip(got[k], want[k])}
+    assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
