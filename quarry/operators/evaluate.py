@@ -34,10 +34,10 @@ def ndcg(hits: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
     `hits` has query_id, rank, key; `labels` has query_id, key: a hit covers the labels of its key.
     """
     first = labels.distinct().join(hits.where(F.col("rank") <= k), ["query_id", "key"], "left").groupBy("query_id", "key").agg(F.min("rank").alias("rank"))
-    ranks = first.select("query_id", "rank").where("rank is not null").distinct().groupBy("query_id").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
-    n = labels.distinct().groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    return n.join(ranks, "query_id", "left").select("query_id", (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
+    # One pass over the labels, which may be costly: a query's ranks are k at most.
+    of = first.groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"), F.sort_array(F.collect_set("rank")).alias("ranks"))
+    gain = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    return of.select("query_id", (gain(F.col("ranks")) / gain(F.sequence(F.lit(1), F.col("n")))).alias("ndcg"))
 
 
 def runs(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -318,3 +318,12 @@ def test_runs_of_words(spark):
     assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     pairs = {(h, w) for k in want for h, w in zip(got[k], want[k])}
     assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+
+
+def test_labels_are_read_once(spark):
+    labels = spark.range(5).selectExpr("id % 2 AS query_id", "id AS key")
+    hits = spark.createDataFrame([(0, 1, 0), (0, 2, 9), (0, 3, 2), (1, 11, 1)], "query_id bigint, rank int, key bigint")
+    found = evaluate.ndcg(hits, labels)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
+    got = {r.query_id: r.ndcg for r in found.collect()}
+    assert got[0] == pytest.approx((1 + 0.5) / (1 + 1 / math.log2(3) + 0.5)) and got[1] == 0
