@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,61 @@ def test_best_reads_a_text_once(spark):
         assert scans == 1 and all(p is not None for _, p in rows.values())
         assert {c: n for (c, t), (n, _) in rows.items() if t is None} == {0: 4, 1: 4, 2: 0, 3: 0, 4: 2, 5: 4}
         assert rows[1, "york"] == (2, [0, 3] if places else []) and rows[4, "ecole"] == (1, [])
+
+
+def test_only_words_asked_for_leave_the_texts(spark, monkeypatch):
+    """Words of the queries are sent to where texts are read; no join meets every posting but with too many words to send."""
+    texts = ["new_york is big", "York new, new york" + " other words" * 40, "", None, "École, NEW", "--- new_york new_york"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")
+    asked = spark.createDataFrame([(1, "new_york ecole"), (2, "york big is"), (3, "- 7"), (4, None)], "query_id bigint, query string")
+    want = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in lexical.bm25(asked, df).collect())
+    seen = []
+
+    def keep(once):
+        rows = sorted((r.chunk_id, r.term or "", r.tf, r.positions) for r in once.collect())
+        seen.append(("Join" in once._jdf.queryExecution().executedPlan().toString(), rows))
+        return once
+
+    for sent in (1 << 17, 2):
+        monkeypatch.setattr(lexical, "SENT", sent)
+        got = lexical.best(asked, lexical.prepared(df), 9, 9, keep=keep).collect()
+        assert sorted((r.query_id, r.chunk_id, r.score) for r in got) == want
+    assert [joined for joined, _ in seen] == [False, True] and seen[0][1] == seen[1][1]
+    out = lexical._read(df, "text", True, False, {"york": True, "new": False})
+    assert sorted((r.term, r.chunk_id, r.tf, r.positions) for r in out.collect()) == [
+        ("new", 0, 1, []), ("new", 1, 2, []), ("new", 4, 1, []), ("new", 5, 2, []),
+        ("york", 0, 1, [1]), ("york", 1, 2, [0, 3]), ("york", 5, 2, [1, 3]),
+    ]
+    assert lexical._read(df, "text", True, False, {}).count() == 0
+
+
+def test_words_of_odd_texts(spark):
+    """Separators and letters within ASCII and beyond it are those of `tokens`, whatever a batch's other texts are."""
+    odd = ["".join(map(chr, range(1, 128))), "ΟΔΟΣ ΣΑΣ", "KELVIN K x y z", "𝔘x 𐐀b \U0001f600c 1٠½Ⅷ", "İ i̇ é", "日本語 ſ ﬁ Ạ\u200bb", "naïve—Café_ÜBER", "\x00a\x7fB\ufffdİ"]
+    texts = [t for i in range(170) for t in (odd[i % 8], "", f"Plain_{i} x", None)]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").repartition(1)
+    want = {}
+    for r in df.select("chunk_id", F.posexplode(lexical.tokens(F.col("text"))).alias("pos", "term")).collect():
+        want.setdefault((r.term, r.chunk_id), []).append(r.pos)
+    assert {(r.term, r.chunk_id): r.positions for r in lexical.postings(df).collect()} == want
+    asked = {t: True for t, _ in want}
+    assert {(r.term, r.chunk_id): r.positions for r in lexical._read(df, asked=asked).collect()} == want
+    size = {r.chunk_id: r.dl for r in lexical.lengths(df).collect()}
+    assert {r.chunk_id: r.tf for r in lexical._read(df, "text", False, True, {}).collect()} == size
+
+
+@pytest.mark.parametrize("cell", [1, 50, 1 << 22])
+def test_a_cell_adds_what_is_there(cell, monkeypatch):
+    monkeypatch.setattr(lexical, "CELL", cell)
+    rng = np.random.default_rng(3)
+    asked = pa.table({"query_id": [9, 9, 4, 4, 7], "words": [["a"], ["b"], ["b"], ["c"], ["d"]], "weight": [1.0, 2.0, 0.5, 3.0, 1.0], "avgdl": [6.0] * 5})
+    rows = [(i, t, int(rng.integers(1, 5))) for i in range(40) for t in "abce" if rng.random() < 0.5] + [(i, None, int(rng.integers(4, 9))) for i in range(40)]
+    held = pa.table({"chunk_id": [r[0] for r in rows], "term": [r[1] for r in rows], "tf": pa.array([r[2] for r in rows], pa.int32())})
+    dl = {c: n for c, t, n in rows if t is None}
+    want = {}
+    for q, (t,), w in zip(*(asked[c].to_pylist() for c in ("query_id", "words", "weight"))):
+        for c, u, n in rows:
+            if u == t:
+                want[q, c] = want.get((q, c), 0) + w * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * dl[c] / 6))
+    found = lexical._cell(asked, held, 40, 9).to_pylist()
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in found} == {k: round(v, 9) for k, v in want.items()} and len(found) == len(want)
