@@ -45,7 +45,7 @@ class Busy(RuntimeError):
 
 def identity(s: Settings) -> str:
     """A fingerprint of what an index was built with."""
-    shape = {k: getattr(s, k) for k in SHAPING} | {"tables": TABLES, "languages": classify.LANGUAGES, "extractor": extract.REVISION}
+    shape = {k: getattr(s, k) for k in SHAPING} | {"tables": TABLES, "languages": classify.LANGUAGES, "extractor": extract.REVISION, "postings": postings.LAYOUT}
     return hashlib.blake2b(json.dumps(shape, sort_keys=True, default=list).encode(), digest_size=8).hexdigest()
 
 

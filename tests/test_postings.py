@@ -96,12 +96,70 @@ def test_flat_is_what_was_written(corpus, spark, index):
     assert rows(postings.flat(spark, index)) == rows(lexical.postings(corpus))
 
 
+def shuffled(spark, f):
+    """Bytes that the stages of f() hand to an exchange."""
+    sc = spark.sparkContext
+    gateway, store = sc._gateway, sc._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    last = max((s.stageId() for s in (it.apply(i) for it in [stages()] for i in range(it.size()))), default=-1)
+    f()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(s.shuffleWriteBytes() for s in (it.apply(i) for it in [stages()] for i in range(it.size())) if s.stageId() > last)
+
+
+def test_little_is_shuffled(spark, tmp_path):
+    """A build hands on its texts' postings in less than the texts have, a search of many frequent words much less than these."""
+    rng = random.Random(4)
+    vocab = [f"w{rng.randrange(10**6)}" for _ in range(20000)]
+    weight = [1 / (i + 1) for i in range(20000)]
+    rows = [(i, " ".join(rng.choices(vocab, weight, k=150))) for i in range(3000)]
+    corpus = spark.createDataFrame(rows, "chunk_id bigint, text string").repartition(2).localCheckpoint()
+    asked = spark.createDataFrame([(q, " ".join(vocab[:50])) for q in range(40)], "query_id bigint, query string")
+    size = sum(len(t) for _, t in rows)
+    index = []
+    assert shuffled(spark, lambda: index.append(postings.build(corpus, str(tmp_path / "k"), buckets=4))) < size
+    found = postings.search(asked, index[0], 10)
+    assert shuffled(spark, lambda: found.count()) < size
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, chunk_id", plan)
+
+
 def test_empty_index(spark, asked, tmp_path):
     none = spark.createDataFrame([], "chunk_id bigint, text string")
     index = postings.build(none, str(tmp_path / "k"))
     assert postings.search(asked, index).collect() == []
 
 
+def test_numbers_of_few_bytes():
+    rng = np.random.default_rng(5)
+    for n in (np.zeros(0, np.int64), np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**32, 0]), rng.integers(0, 2**20, 999)):
+        raw, many = postings._packed(n)
+        assert many.sum() == len(raw) and postings._unpacked(raw).tolist() == n.tolist()
+    many = np.array([0, 3, 0, 0, 1, 2, 0])
+    values = np.array([4, 9, 9, 7, 0, 5])
+    assert postings._summed(postings._since(values, np.array([0, 3, 4])), many).tolist() == values.tolist()
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_many_runs_and_blocks_of_queries(spark, corpus, asked, tmp_path, monkeypatch, written):
+    """Chunks of many runs, queries of many blocks, phrases whose words repeat, ids that are words; built from texts or from postings."""
+    monkeypatch.setattr(postings, "RUN", 150)
+    monkeypatch.setattr(postings, "QUERIES", 7)
+    odd = ["go_go go", "go go_go go go_stop", "stop_go", "go stop go " * 90, "go"]
+    rows = spark.createDataFrame([(20000 + i, t) for i, t in enumerate(odd)], "chunk_id bigint, text string")
+    corpus = corpus.unionByName(rows).localCheckpoint()
+    more = spark.createDataFrame([("a", "go_go"), ("b", "go_go stop_go go_stop"), ("c", "go_go_go w30")], "query_id string, query string")
+    asked = asked.withColumn("query_id", F.col("query_id").cast("string")).unionByName(more).localCheckpoint()
+    if written:
+        index = postings.write(lexical.postings(corpus), lexical.lengths(corpus), str(tmp_path / "k"), 3)
+    else:
+        index = postings.build(corpus, str(tmp_path / "k"), buckets=3)
+    placed = postings._placed(spark, index)
+    assert placed.select("run").distinct().count() > 15 and placed.count() == corpus.count() == placed.select("run", "place").distinct().count()
+    want = lexical.top(lexical.bm25(asked, corpus).withColumn("score", F.round("score", 9)), 20)
+    assert best(postings.search(asked, index, 20, digits=9)) == best(want)
+
+
 @pytest.mark.parametrize("blocks", [dict(chunks=97), dict(chunks=5000)])
 def test_blocks_find_what_bm25_finds(corpus, asked, blocks, monkeypatch):
     monkeypatch.setattr(lexical, "QUERIES", 7)
